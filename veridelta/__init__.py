@@ -1,0 +1 @@
+"""Value-level comparison of large tables, on Spark."""
