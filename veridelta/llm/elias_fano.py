@@ -96,14 +96,27 @@ class EliasFano:
         end = self._select0(high) - high
         start = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - (high - 1), 0)
         left, right = start.copy(), end.copy()
-        while True:
-            live = np.nonzero(left < right)[0]
-            if not len(live):
-                break
-            mid = (left[live] + right[live]) >> 1
-            less = unpacked(self.low, mid, self.low_bits) < want[live]
-            left[live] = np.where(less, mid + 1, left[live])
-            right[live] = np.where(less, right[live], mid)
+        floor = np.zeros(len(left), np.int64)  # low bits left of ``left`` are below it
+        ceiling = np.full(len(left), 1 << self.low_bits, np.int64)
+        aim, turn = want.astype(np.int64), 0
+        live = np.nonzero(left < right)[0]
+        while len(live):
+            lo, hi = left[live], right[live]
+            if turn % 3 == 2 or self.low_bits > 40:  # halving bounds the turns
+                mid = (lo + hi) >> 1
+            else:  # keys are spread evenly in a run: guess by proportion
+                gap = (hi - lo - 1) * ((aim[live] - floor[live]) / np.maximum(ceiling[live] - floor[live], 1))
+                mid = np.clip(lo + gap.astype(np.int64), lo, hi - 1)
+            got = unpacked(self.low, mid, self.low_bits).astype(np.int64)
+            less = got < aim[live]
+            left[live] = np.where(less, mid + 1, lo)
+            floor[live] = np.where(less, got, floor[live])
+            exact = got == aim[live]
+            right[live] = np.where(less, hi, mid)
+            ceiling[live] = np.where(less, ceiling[live], got)
+            left[live[exact]] = right[live[exact]] = mid[exact]
+            live = live[left[live] < right[live]]
+            turn += 1
         hit = left < end
         hit[hit] = unpacked(self.low, left[hit], self.low_bits) == want[hit]
         out[ask[hit]] = left[hit]

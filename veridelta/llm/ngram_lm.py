@@ -1,11 +1,12 @@
 """Trigram language model in an Elias-Fano trie.
 
-Counting: tasks count n-grams of about a million tokens at a time and send each
+Counting: tasks count n-grams of about two million tokens at a time and send each
 shard one compressed block of them, so the shuffle holds every distinct n-gram
 of a block once. Level 1 is the vocabulary by 63-bit word hash; level 2 holds
 each word's successors; level 3 names a word by its rank among the successors of
 the word before it (context-relative), behind monotone pointers. Probabilities
-are interpolated with modified absolute discounting and quantised.
+are interpolated with modified absolute discounting, whose discounts each shard
+(a hash sample of the contexts) estimates, and quantised.
 
 The levels are files in the session's shared folder, written by the tasks and
 memory-mapped by those that score. Nothing of the model passes the driver but
@@ -34,7 +35,7 @@ from . import elias_fano as ef
 from .common import checkpoint, prepare, shared_folder, text_of
 
 #: Tokens that a task counts or scores at a time (a longer text makes a longer block).
-BLOCK = 1_000_000
+BLOCK = 2_000_000
 #: Words, bigrams and trigrams that a shard of a level holds, about.
 SHARD = 4_000_000
 BITS = 12
@@ -120,8 +121,6 @@ class Model:
     deep: int = 1  # shards of level 3, by a hash of the two words before
     first: list[int] = field(default_factory=list)  # number of the first word of each shard
     pairs: list[int] = field(default_factory=list)  # number of the first bigram of each shard
-    d2: list[float] = field(default_factory=list)
-    d3: list[float] = field(default_factory=list)
 
     def path(self, level: int, shard: int) -> str:
         return f"{self.folder}/level{level}-{shard}.ef"
@@ -343,105 +342,93 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
                         ["level", "s", "block"],
                     )
 
-    blocks = checkpoint(texts.mapInArrow(count_grams, "level int, s long, block binary"))
-    stats = "s long, n long, n1 long, n2 long, n3 long, n4 long"
-
-    def told(s: int, counts: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"s": [s], "n": [len(counts)]} | {f"n{k}": [int((counts == k).sum())] for k in (1, 2, 3, 4)})
-
-    def level2(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie, s = Trie(model), int(pdf["s"].iloc[0])
-        a, b, c = (np.concatenate(x) for x in zip(*map(_unpack_block, pdf["block"])))
-        keys, counts = _counted(trie.local(a, s) * model.words + b, c)
-        slots = trie.file(1, s)[1]["n"] + (s == 0)
-        pointers = np.searchsorted(keys, np.arange(slots + 1) * model.words)
-        arrays, meta = {"counts": counts}, {"slots": slots}
-        ef.nested("keys", ef.EliasFano.build(keys, slots * model.words), arrays, meta)
-        ef.nested("pointers", ef.EliasFano.build(pointers, len(keys) + 1), arrays, meta)
-        ef.save(model.path(20, s), arrays, meta)
-        return told(s, counts)
-
-    got = blocks.filter("level = 2").groupBy("s").applyInPandas(level2, stats).toPandas()
-    seen = set(got["s"].tolist())
-    for s in set(range(shards)) - seen:
-        slots = int(per[s]) + (s == 0)
-        arrays, meta = {"counts": np.zeros(0, np.int64)}, {"slots": slots}
-        ef.nested("keys", ef.EliasFano.build(np.zeros(0, np.int64), 1), arrays, meta)
-        ef.nested("pointers", ef.EliasFano.build(np.zeros(slots + 1, np.int64), 1), arrays, meta)
-        ef.save(model.path(20, s), arrays, meta)
-    per2 = np.zeros(shards, np.int64)
-    per2[got["s"]] = got["n"]
-    model.pairs = (np.cumsum(per2) - per2).tolist()
-    model.d2 = discounts(got[["n1", "n2", "n3", "n4"]].sum().to_numpy()).tolist()
-
-    def smooth(counts, lower, group, groups, d):
+    def smooth(counts, lower, group, groups):
         """Interpolated log10 probabilities and log10 back-off weights of the groups."""
-        cut = np.asarray(d)[np.minimum(counts, 3) - 1]
+        cut = discounts(np.bincount(np.minimum(counts, 5), minlength=6)[1:5])[np.minimum(counts, 3) - 1]
         total, lost = np.bincount(group, counts, groups), np.bincount(group, cut, groups)
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(total > 0, lost / total, 1.0)
         return np.log10((counts - cut) / total[group] + back[group] * lower), np.log10(back)
 
-    def finish2(pdf: pd.DataFrame) -> pd.DataFrame:
+    def level2(s: int, keys: np.ndarray, counts: np.ndarray) -> None:
         trie = Trie(model)
-        for s in pdf["id"].tolist():
-            arrays, meta, seq = trie.file(20, s)
-            counts = np.array(arrays["counts"])
-            keys = seq["keys"].at(np.arange(len(counts)))
-            prob, back = smooth(counts, 10 ** trie.unigram(keys % model.words), keys // model.words, meta["slots"], model.d2)
-            arrays, meta = {k: v for k, v in arrays.items() if k != "counts"}, dict(meta)
-            _quantised(prob, arrays, meta, "prob")
-            _quantised(back, arrays, meta, "back")
-            ef.save(model.path(2, s), arrays, meta)
-        return pd.DataFrame({"id": pdf["id"]})
-
-    def each(function, n: int) -> None:
-        ids = spark.range(0, n, 1, min(n, 10_000))
-        ids.mapInPandas(lambda parts: map(function, parts), "id long").count()
-
-    each(finish2, shards)
-
-    def level3(pdf: pd.DataFrame) -> pd.DataFrame:
-        trie, s = Trie(model), int(pdf["s"].iloc[0])
-        a, b, c, n = (np.concatenate(x) for x in zip(*map(_unpack_block, pdf["block"])))
-        place = trie.bigrams(a, b)[0]
-        _, rank, lower, _ = trie.bigrams(b, c)
-        order = np.lexsort((rank, place))
-        place, rank, lower, b, n = place[order], rank[order], lower[order], b[order], n[order]
-        new = np.concatenate(([True], (place[1:] != place[:-1]) | (rank[1:] != rank[:-1])))
+        slots = trie.file(1, s)[1]["n"] + (s == 0)
+        arrays, meta = {}, {}
+        ef.nested("keys", ef.EliasFano.build(keys, slots * model.words), arrays, meta)
+        ef.nested("pointers", ef.EliasFano.build(np.searchsorted(keys, np.arange(slots + 1) * model.words), len(keys) + 1), arrays, meta)
+        prob, back = smooth(counts, 10 ** trie.unigram(keys % model.words), keys // model.words, slots)
+        _quantised(prob, arrays, meta, "prob")
+        _quantised(back, arrays, meta, "back")
+        ef.save(model.path(2, s), arrays, meta)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Level 2 of a shard, or a shard's trigrams in one sorted block: level 3 needs
+        the ranks of all of level 2."""
+        level, s = int(pdf["level"].iloc[0]), int(pdf["s"].iloc[0])
+        columns = [np.concatenate(x) for x in zip(*map(_unpack_block, pdf["block"]))]
+        if level == 2:
+            a, b, c = columns
+            keys, counts = _counted(Trie(model).local(a, s) * model.words + b, c)
+            level2(s, keys, counts)
+            return pd.DataFrame({"level": [2], "s": [s], "n": [len(keys)]})
+        a, b, c, n = columns
+        order = np.lexsort((c, a * model.words + b))
+        a, b, c, n = a[order], b[order], c[order], n[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
         n = np.add.reduceat(n, np.nonzero(new)[0])
-        place, rank, lower, b = place[new], rank[new], lower[new], b[new]
-        parents, lead, group = np.unique(place, return_index=True, return_inverse=True)
-        pointers = np.concatenate(([0], np.cumsum(trie.successors(b[lead]))))
-        arrays, meta = {"counts": n, "lower": lower, "group": group}, {}
-        ef.nested("parents", ef.EliasFano.build(parents, int(sum(per2)) + 1), arrays, meta)
+        ef.save(model.path(30, s), {"block": np.frombuffer(_pack_block([a[new], b[new], c[new], n]), np.uint8)}, {})
+        return pd.DataFrame({"level": [3], "s": [s], "n": [len(n)]})
+
+    blocks = texts.mapInArrow(count_grams, "level int, s long, block binary")
+    got = blocks.groupBy("level", "s").applyInPandas(merge, "level int, s long, n long").toPandas()
+    two, three = got[got["level"] == 2], set(got["s"][got["level"] == 3].tolist())
+    for s in set(range(shards)) - set(two["s"].tolist()):
+        level2(s, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    per2 = np.zeros(shards, np.int64)
+    per2[two["s"]] = two["n"]
+    model.pairs = (np.cumsum(per2) - per2).tolist()
+
+    def level3(s: int) -> None:
+        temp, final = model.path(30, s), model.path(3, s)
+        if s not in three:
+            columns = [np.zeros(0, np.int64)] * 4
+        elif os.path.exists(temp):
+            columns = _unpack_block(ef.load(temp)[0]["block"].tobytes())
+        else:  # a task before this one got as far as removing it
+            return
+        trie = Trie(model)
+        a, b, c, n = columns
+        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        at = np.nonzero(first)[0]
+        parents, successors = trie.bigrams(a[at], b[at])[0], trie.successors(b[at])
+        _, rank, lower, _ = trie.bigrams(b, c)
+        # Pairs are in order of their positions but for those of texts' beginnings.
+        turn = np.argsort(parents, kind="stable")
+        sizes = np.diff(np.append(at, len(a)))
+        place = np.empty(len(at), np.int64)
+        place[turn] = np.arange(len(at))
+        group = np.repeat(place, sizes)
+        order = np.argsort(group, kind="stable")
+        group, rank, lower, n = group[order], rank[order], lower[order], n[order]
+        parents, pointers = parents[turn], np.concatenate(([0], np.cumsum(successors[turn])))
+        arrays, meta = {}, {}
+        ef.nested("parents", ef.EliasFano.build(parents, int(per2.sum()) + 1), arrays, meta)
         ef.nested("pointers", ef.EliasFano.build(pointers, int(pointers[-1]) + 1), arrays, meta)
         ef.nested("keys", ef.EliasFano.build(pointers[group] + rank, int(pointers[-1]) + 1), arrays, meta)
-        ef.save(model.path(30, s), arrays, meta)
-        return told(s, n)
-
-    got3 = blocks.filter("level = 3").groupBy("s").applyInPandas(level3, stats).toPandas()
-    model.d3 = discounts(got3[["n1", "n2", "n3", "n4"]].sum().to_numpy()).tolist()
-    for s in set(range(model.deep)) - set(got3["s"].tolist()):
-        arrays, meta = {k: np.zeros(0, t) for k, t in (("counts", np.int64), ("lower", np.float64), ("group", np.int64))}, {}
-        for name in ("parents", "pointers", "keys"):
-            ef.nested(name, ef.EliasFano.build(np.zeros(0, np.int64), 1), arrays, meta)
-        ef.save(model.path(30, s), arrays, meta)
-
-    def finish3(pdf: pd.DataFrame) -> pd.DataFrame:
-        for s in pdf["id"].tolist():
-            arrays, meta = ef.load(model.path(30, s))
-            counts, lower, group = (np.array(arrays.pop(k)) for k in ("counts", "lower", "group"))
-            prob, back = smooth(counts, 10**lower, group, int(group.max()) + 1 if len(group) else 0, model.d3)
-            _quantised(prob, arrays, meta, "prob")
-            _quantised(back, arrays, meta, "back")
-            ef.save(model.path(3, s), arrays, meta)
-        return pd.DataFrame({"id": pdf["id"]})
-
-    each(finish3, model.deep)
-    for level, n in ((20, shards), (30, model.deep)):
-        for s in range(n):
-            os.remove(model.path(level, s))
+        prob, back = smooth(n, 10**lower, group, len(parents))
+        _quantised(prob, arrays, meta, "prob")
+        _quantised(back, arrays, meta, "back")
+        ef.save(final, arrays, meta)
+        if s in three:
+            os.remove(temp)
+
+    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for s in part["id"].tolist():
+                level3(s)
+            yield part
+
+    spark.range(0, model.deep, 1, min(model.deep, 10_000)).mapInPandas(build, "id long").count()
     return model
 
 
@@ -465,9 +452,11 @@ def score_texts(trie: Trie, texts: list[str]) -> dict[str, np.ndarray]:
     inner = np.ones(len(t.ids), bool)
     inner[t.starts] = False
     at = np.nonzero(inner)[0]
-    lead = pair_of[at - 1]
     value = two[pair_of]
-    value[at] = trie.trigrams(a[lead], b[lead], place[lead], rank[pair_of[at]], value[at])
+    # Distinct trigrams: the place of their first bigram, and the third word.
+    triples, where, again = np.unique((pair_of[at - 1] << wide) | t.ids[at], return_index=True, return_inverse=True)
+    lead, last = triples >> wide, pair_of[at[where]]
+    value[at] = trie.trigrams(a[lead], b[lead], place[lead], rank[last], two[last])[again]
     doc = np.repeat(np.arange(len(t.lengths)), t.lengths)
     n = len(t.lengths)
     return {
