@@ -39,14 +39,19 @@ def unpacked(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return (low | high) & _U((1 << width) - 1)
 
 
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
 def _select_in(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) one of each word."""
-    each = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-    count = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.int64)
-    byte = (count <= k[:, None]).sum(axis=1)
-    rows = np.arange(len(word))
-    before = np.where(byte > 0, count[rows, byte - 1], 0)
-    return byte * 8 + _BYTE_SELECT[each[rows, byte], k - before]
+    """Place of the k-th (from 0) one of each word: byte sums by one multiplication."""
+    s = word - ((word >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # byte i: ones of bytes 0..i
+    k = k.astype(_U)
+    place = ((((k * _ONES) | _TOPS) - s) & _TOPS) >> _U(7)  # a one for each byte that lies before
+    place = ((place * _ONES) >> _U(56)) << _U(3)
+    rest = k - (((s << _U(8)) >> place) & _U(255))
+    return (place + _BYTE_SELECT[((word >> place) & _U(255)).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -93,8 +98,16 @@ class EliasFano:
         high = values >> self.low_bits
         ask = np.nonzero((values >= 0) & (high < self.zeros[-1] - 1))[0]
         high, want = high[ask], (values[ask] & ((1 << self.low_bits) - 1)).astype(_U)
-        end = self._select0(high) - high
-        start = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - (high - 1), 0)
+        before = self._select0(np.maximum(high - 1, 0))
+        before[high == 0] = -1
+        # The next zero is mostly in the same word.
+        word = (before + 1) >> 6
+        rest = ~self.upper[word] >> ((before + 1) & 63).astype(_U)
+        end = before + 1 + np.bitwise_count((rest & (~rest + _U(1))) - _U(1))
+        far = np.nonzero(rest == 0)[0]
+        end[far] = self._select0(high[far])
+        end -= high
+        start = before + 1 - high
         left, right = start.copy(), end.copy()
         floor = np.zeros(len(left), np.int64)  # low bits left of ``left`` are below it
         ceiling = np.full(len(left), 1 << self.low_bits, np.int64)
@@ -143,7 +156,7 @@ def save(path: str, arrays: dict[str, np.ndarray], meta: dict) -> None:
 
 
 def load(path: str) -> tuple[dict[str, np.ndarray], dict]:
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.asarray(np.memmap(path, np.uint8, "r"))  # still mapped, without the subclass
     size = int.from_bytes(whole[:8].tobytes(), "little")
     head = json.loads(whole[8 : 8 + size].tobytes())
     start = -(-(8 + size) // 64) * 64

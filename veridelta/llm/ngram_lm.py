@@ -19,8 +19,10 @@ import atexit
 import os
 import shutil
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 from urllib.parse import urlparse
 
 import numpy as np
@@ -34,10 +36,11 @@ from pyspark.sql import functions as F
 from . import elias_fano as ef
 from .common import checkpoint, prepare, shared_folder, text_of
 
-#: Tokens that a task counts or scores at a time (a longer text makes a longer block).
+#: Tokens that a task counts, and scores, at a time (a longer text makes a longer block).
 BLOCK = 2_000_000
+SCORED = 1_000_000
 #: Words, bigrams and trigrams that a shard of a level holds, about.
-SHARD = 4_000_000
+SHARD = 2_500_000
 BITS = 12
 END = b"\n"  # no word holds white space
 _HASH_BITS = 63
@@ -55,12 +58,13 @@ class Tokens:
     """Texts as numbers: ``ids`` of distinct words, one END after each text."""
 
     def __init__(self, texts: list[str]):
-        known: dict[bytes, int] = {END: 0}
-        number = known.setdefault
+        known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        number = known.__getitem__
+        number(END)
         parts, self.lengths = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = text.encode().lower().split()
-            part = np.fromiter((number(w, len(known)) for w in words), np.int64, len(words))
+            part = np.fromiter(map(number, words), np.int64, len(words))
             parts += (part, np.zeros(1, np.int64))
             self.lengths[i] = len(words) + 1
         self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -68,15 +72,15 @@ class Tokens:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
-    """Record batches until their texts have about BLOCK tokens."""
+def _blocks(batches: Iterator[pa.RecordBatch], text_column: int, block: int = BLOCK) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
+    """Record batches until their texts have about ``block`` tokens."""
     held, texts, size = [], [], 0
     for batch in batches:
         held.append(batch)
         new = batch.column(text_column).to_pylist()
         texts += new
         size += sum(map(len, new)) // 6
-        if size >= BLOCK:
+        if size >= block:
             yield held, texts
             held, texts, size = [], [], 0
     if held:
@@ -84,7 +88,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tup
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
     return keys[first], np.add.reduceat(counts, np.nonzero(first)[0]) if len(keys) else counts
@@ -144,9 +148,11 @@ class Trie:
 
     @staticmethod
     def by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if len(shards) and int(shards.max()) < 1 << 16:
+            shards = shards.astype(np.uint16)  # sorted by radix
         order = np.argsort(shards, kind="stable")
         if len(order):
-            ends = np.nonzero(np.diff(shards[order]))[0] + 1
+            ends = np.nonzero(shards[order][1:] != shards[order][:-1])[0] + 1
             for part in np.split(order, ends):
                 yield int(shards[part[0]]), part
 
@@ -372,11 +378,12 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
             level2(s, keys, counts)
             return pd.DataFrame({"level": [2], "s": [s], "n": [len(keys)]})
         a, b, c, n = columns
-        order = np.lexsort((c, a * model.words + b))
-        a, b, c, n = a[order], b[order], c[order], n[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
-        n = np.add.reduceat(n, np.nonzero(new)[0])
-        ef.save(model.path(30, s), {"block": np.frombuffer(_pack_block([a[new], b[new], c[new], n]), np.uint8)}, {})
+        del columns
+        pairs, lead = np.unique(a * model.words + b, return_inverse=True)
+        keys, n = _counted(lead * model.words + c, n)
+        lead = pairs[keys // model.words]
+        block = _pack_block([lead // model.words, lead % model.words, keys % model.words, n])
+        ef.save(model.path(30, s), {"block": np.frombuffer(block, np.uint8)}, {})
         return pd.DataFrame({"level": [3], "s": [s], "n": [len(n)]})
 
     blocks = texts.mapInArrow(count_grams, "level int, s long, block binary")
@@ -454,8 +461,9 @@ def score_texts(trie: Trie, texts: list[str]) -> dict[str, np.ndarray]:
     at = np.nonzero(inner)[0]
     value = two[pair_of]
     # Distinct trigrams: the place of their first bigram, and the third word.
-    triples, where, again = np.unique((pair_of[at - 1] << wide) | t.ids[at], return_index=True, return_inverse=True)
-    lead, last = triples >> wide, pair_of[at[where]]
+    triples, again = np.unique((pair_of[at - 1] << wide) | t.ids[at], return_inverse=True)
+    lead, last = triples >> wide, np.empty(len(triples), np.int64)
+    last[again] = pair_of[at]
     value[at] = trie.trigrams(a[lead], b[lead], place[lead], rank[last], two[last])[again]
     doc = np.repeat(np.arange(len(t.lengths)), t.lengths)
     n = len(t.lengths)
@@ -482,7 +490,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, folder: str | None = None, shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model)
-        for held, texts in _blocks(batches, 2):
+        for held, texts in _blocks(batches, 2, SCORED):
             out, at = score_texts(trie, texts), 0
             for batch in held:
                 part = slice(at, at + batch.num_rows)
