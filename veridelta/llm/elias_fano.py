@@ -23,12 +23,19 @@ def packed(values: np.ndarray, width: int) -> np.ndarray:
     at = np.arange(n, dtype=_U) * _U(width)
     word, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
     values = values.astype(_U)
-    np.bitwise_or.at(words, word, values << shift)
-    over = (shift + _U(width)) > _U(64)
-    np.bitwise_or.at(words, word[over] + 1, values[over] >> (_U(64) - shift[over]))
+    _merge(words, word, values << shift)
+    over = np.nonzero(shift + _U(width) > _U(64))[0]
+    words[word[over] + 1] |= values[over] >> (_U(64) - shift[over])  # one value at most runs into a word
     return words
 
 
+def _merge(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """Set ``bits`` in ``words`` at rising places."""
+    if len(at):
+        first = np.concatenate(([0], np.nonzero(at[1:] != at[:-1])[0] + 1))
+        words[at[first]] |= np.bitwise_or.reduceat(bits, first)
+
+
 def unpacked(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(len(at), _U)
@@ -54,49 +61,100 @@ def _select_in(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (place + _BYTE_SELECT[((word >> place) & _U(255)).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
 
 
+#: Queries answered at a time.
+PART = 1 << 14
+#: Arrays of a sequence; the hints name the word of every HINT-th one and zero.
+ARRAYS = ("low", "upper", "ones", "hint1", "hint0")
+#: Low bits fewer than the densest form has: shorter runs to search.
+FINER = 1
+HINT_BITS = 6
+HINT = 1 << HINT_BITS
+
+
 class EliasFano:
     """A non-decreasing sequence below ``universe``."""
 
     def __init__(self, arrays: dict[str, np.ndarray], n: int, low_bits: int):
-        self.low, self.upper, self.ones, self.zeros = (arrays[k] for k in ("low", "upper", "ones", "zeros"))
+        self.low, self.upper, self.ones, self.hint1, self.hint0 = (arrays[k] for k in ARRAYS)
         self.n, self.low_bits = n, low_bits
+        self.n0 = len(self.upper) * 64 - n
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> tuple[dict[str, np.ndarray], dict[str, int]]:
         n = len(values)
-        bits = max(0, int(max(1, universe) // max(1, n)).bit_length() - 1)
+        bits = max(0, int(max(1, universe) // max(1, n)).bit_length() - 1 - FINER)
         values = values.astype(_U)
         place = (values >> _U(bits)).astype(np.int64) + np.arange(n)
         words = np.zeros((n + (int(universe) >> bits) + 2) // 64 + 1, _U)
-        np.bitwise_or.at(words, place >> 6, _U(1) << (place & 63).astype(_U))
+        _merge(words, place >> 6, _U(1) << (place & 63).astype(_U))
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
         zeros = np.arange(len(ones)) * 64 - ones
         low = packed(values & _U((1 << bits) - 1), bits)
-        return {"low": low, "upper": words, "ones": ones, "zeros": zeros}, {"n": n, "low_bits": bits}
+        hints = [(np.searchsorted(a, np.arange(0, a[-1], HINT), side="right") - 1).astype(np.int32) for a in (ones, zeros)]
+        ones = ones.astype(np.uint32 if n < 1 << 32 else np.int64)
+        return dict(zip(ARRAYS, (low, words, ones, *hints))), {"n": n, "low_bits": bits}
+
+    def _word(self, i: np.ndarray, hint: np.ndarray, before) -> np.ndarray:
+        """The word that holds bit ``i`` of its kind: a few steps from its hint, or,
+        where the other kind fills many words between, halving."""
+        word = hint[i >> HINT_BITS].astype(np.int64)
+        word += before(word + 1) <= i
+        go = np.nonzero(before(word + 1) <= i)[0]
+        for _ in range(3):
+            if not len(go):
+                return word
+            word[go] += 1
+            go = go[before(word[go] + 1) <= i[go]]
+        low, high = word[go], np.full(len(go), len(self.upper))
+        while len(go) and (high - low > 1).any():
+            mid = (low + high) >> 1
+            up = before(mid) <= i[go]
+            low, high = np.where(up, mid, low), np.where(up, high, mid)
+        word[go] = low
+        return word
+
+    def _ones_before(self, word: np.ndarray) -> np.ndarray:
+        return self.ones[word].astype(np.int64)
+
+    def _zeros_before(self, word: np.ndarray) -> np.ndarray:
+        return word * 64 - self.ones[word]
 
     def _select1(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        return word * 64 + _select_in(self.upper[word], i - self.ones[word])
+        word = self._word(i, self.hint1, self._ones_before)
+        return word * 64 + _select_in(self.upper[word], i - self._ones_before(word))
 
     def _select0(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.zeros, i, side="right") - 1
-        return word * 64 + _select_in(~self.upper[word], i - self.zeros[word])
+        word = self._word(i, self.hint0, self._zeros_before)
+        return word * 64 + _select_in(~self.upper[word], i - self._zeros_before(word))
+
+    @staticmethod
+    def _by_part(ask, values: np.ndarray) -> np.ndarray:
+        """Answers a part at a time, so that what is between stays in cache."""
+        values = np.asarray(values, np.int64)
+        if len(values) <= PART:
+            return ask(values)
+        return np.concatenate([ask(values[i : i + PART]) for i in range(0, len(values), PART)])
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values at positions."""
-        i = np.asarray(i, np.int64)
+        return self._by_part(self._at, i)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Position of each value, or -1."""
+        return self._by_part(self._find, values)
+
+    def _at(self, i: np.ndarray) -> np.ndarray:
         high = (self._select1(i) - i).astype(_U)
         return ((high << _U(self.low_bits)) | unpacked(self.low, i, self.low_bits)).astype(np.int64)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Position of each value, or -1: its high part's run of positions comes
-        from the upper bits, and the successor in it from the low bits."""
-        values = np.asarray(values, np.int64)
+    def _find(self, values: np.ndarray) -> np.ndarray:
+        """The high part's run of positions comes from the upper bits, and the
+        successor in it from the low bits."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
         high = values >> self.low_bits
-        ask = np.nonzero((values >= 0) & (high < self.zeros[-1] - 1))[0]
+        ask = np.nonzero((values >= 0) & (high < self.n0 - 1))[0]
         high, want = high[ask], (values[ask] & ((1 << self.low_bits) - 1)).astype(_U)
         before = self._select0(np.maximum(high - 1, 0))
         before[high == 0] = -1
@@ -108,27 +166,23 @@ class EliasFano:
         end[far] = self._select0(high[far])
         end -= high
         start = before + 1 - high
-        left, right = start.copy(), end.copy()
-        floor = np.zeros(len(left), np.int64)  # low bits left of ``left`` are below it
-        ceiling = np.full(len(left), 1 << self.low_bits, np.int64)
-        aim, turn = want.astype(np.int64), 0
-        live = np.nonzero(left < right)[0]
+        left, aim, turn = start.copy(), want.astype(np.int64), 0
+        live = np.nonzero(start < end)[0]
+        lo, hi, aim = start[live], end[live], aim[live]
+        # Low bits left of ``lo`` are at least ``floor``, those from ``hi`` on at least ``ceiling``.
+        floor, ceiling = np.zeros(len(live), np.int64), np.full(len(live), 1 << self.low_bits, np.int64)
         while len(live):
-            lo, hi = left[live], right[live]
-            if turn % 3 == 2 or self.low_bits > 40:  # halving bounds the turns
+            if turn % 3 == 2 or self.low_bits > 50:  # halving bounds the turns
                 mid = (lo + hi) >> 1
             else:  # keys are spread evenly in a run: guess by proportion
-                gap = (hi - lo - 1) * ((aim[live] - floor[live]) / np.maximum(ceiling[live] - floor[live], 1))
-                mid = np.clip(lo + gap.astype(np.int64), lo, hi - 1)
+                mid = lo + ((hi - lo - 1) * ((aim - floor) / (ceiling - floor))).astype(np.int64)
             got = unpacked(self.low, mid, self.low_bits).astype(np.int64)
-            less = got < aim[live]
-            left[live] = np.where(less, mid + 1, lo)
-            floor[live] = np.where(less, got, floor[live])
-            exact = got == aim[live]
-            right[live] = np.where(less, hi, mid)
-            ceiling[live] = np.where(less, ceiling[live], got)
-            left[live[exact]] = right[live[exact]] = mid[exact]
-            live = live[left[live] < right[live]]
+            less, exact = got < aim, got == aim
+            lo, hi = np.where(less, mid + 1, np.where(exact, mid, lo)), np.where(less, hi, mid)
+            floor, ceiling = np.where(less, got, floor), np.where(less, ceiling, got)
+            left[live] = lo
+            more = np.nonzero(lo < hi)[0]
+            live, lo, hi, aim, floor, ceiling = live[more], lo[more], hi[more], aim[more], floor[more], ceiling[more]
             turn += 1
         hit = left < end
         hit[hit] = unpacked(self.low, left[hit], self.low_bits) == want[hit]
@@ -174,4 +228,4 @@ def nested(name: str, built: tuple[dict, dict], arrays: dict, meta: dict) -> Non
 
 
 def sequence(name: str, arrays: dict, meta: dict) -> EliasFano:
-    return EliasFano({k: arrays[f"{name}.{k}"] for k in ("low", "upper", "ones", "zeros")}, **meta[name])
+    return EliasFano({k: arrays[f"{name}.{k}"] for k in ARRAYS}, **meta[name])

@@ -19,16 +19,14 @@ import atexit
 import os
 import shutil
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +34,10 @@ from pyspark.sql import functions as F
 from . import elias_fano as ef
 from .common import checkpoint, prepare, shared_folder, text_of
 
-#: Tokens that a task counts, and scores, at a time (a longer text makes a longer block).
+#: Tokens that a task counts, or scores, at a time (a longer text makes a longer block).
 BLOCK = 2_000_000
-SCORED = 1_000_000
 #: Words, bigrams and trigrams that a shard of a level holds, about.
 SHARD = 2_500_000
-BITS = 12
 END = b"\n"  # no word holds white space
 _HASH_BITS = 63
 
@@ -50,36 +46,95 @@ def held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42) >> 1
+_POINT = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n-1 modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_POINT, _CHUNK), _powers(pow(_POINT, -1, 1 << 64), _CHUNK)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spread over all bits (a bijection), then cut to 63."""
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(by)
+    return ((h ^ (h >> np.uint64(33))) >> np.uint64(1)).astype(np.int64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the words ``data[start:end]``: the bytes are a polynomial's
+    coefficients, which prefix sums evaluate at one point modulo 2^64."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + _CHUNK, side="right")))
+        size = int(ends[stop - 1]) - low
+        up, down = _tables() if size <= _CHUNK else (_powers(_POINT, size), _tables()[1])
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[low : low + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        s, e = starts[at:stop] - low, ends[at:stop] - low
+        out[at:stop] = (sums[e] - sums[s]) * down[s]
+        at = stop
+    return _mixed(out)
+
+
+_END_HASH = int(word_hashes(np.frombuffer(END, np.uint8), np.array([0]), np.array([1]))[0])
 
 
 class Tokens:
-    """Texts as numbers: ``ids`` of distinct words, one END after each text."""
-
-    def __init__(self, texts: list[str]):
-        known: defaultdict[bytes, int] = defaultdict(count().__next__)
-        number = known.__getitem__
-        number(END)
-        parts, self.lengths = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = text.encode().lower().split()
-            part = np.fromiter(map(number, words), np.int64, len(words))
-            parts += (part, np.zeros(1, np.int64))
-            self.lengths[i] = len(words) + 1
-        self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.hashes = np.fromiter(map(word_hash, known), np.int64, len(known))
+    """Texts as numbers: ``ids`` of distinct words by their ``hashes`` in rising
+    order, one END after each text."""
+
+    def __init__(self, columns: list[pa.Array]):
+        parts, lengths = [], []
+        for column in columns:
+            hashes, words = self._split(column.cast(pa.large_string()))
+            text = np.repeat(np.arange(len(words)), words)
+            part = np.full(len(hashes) + len(words), _END_HASH, np.int64)
+            part[np.arange(len(hashes)) + text] = hashes
+            parts.append(part)
+            lengths.append(words + 1)
+        none = np.zeros(0, np.int64)
+        self.lengths = np.concatenate(lengths) if lengths else none
+        self.hashes, self.ids = np.unique(np.concatenate(parts) if parts else none, return_inverse=True)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-
-def _blocks(batches: Iterator[pa.RecordBatch], text_column: int, block: int = BLOCK) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
+    @staticmethod
+    def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and the number of words of each text."""
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+        size = int(edges[-1] - edges[0])
+        if not size:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        data, edges = np.frombuffer(data, np.uint8, size, int(edges[0])), edges - edges[0]
+        data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        first, last = ~space, np.zeros(size + 1, bool)
+        last[1:] = first
+        first[1:] &= space[:-1]
+        last[1:-1] &= space[1:]
+        cut = edges[(edges > 0) & (edges < size)]  # a word ends with its text
+        first[cut], last[cut] = ~space[cut], ~space[cut - 1]
+        starts = np.nonzero(first)[0]
+        return word_hashes(data, starts, np.nonzero(last)[0]), np.diff(np.searchsorted(starts, edges))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text_column: int, block: int = BLOCK) -> Iterator[tuple[list[pa.RecordBatch], list[pa.Array]]]:
     """Record batches until their texts have about ``block`` tokens."""
     held, texts, size = [], [], 0
     for batch in batches:
         held.append(batch)
-        new = batch.column(text_column).to_pylist()
-        texts += new
-        size += sum(map(len, new)) // 6
+        texts.append(batch.column(text_column))
+        size += texts[-1].nbytes // 6
         if size >= block:
             yield held, texts
             held, texts, size = [], [], 0
@@ -94,16 +149,16 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, np.nonzero(first)[0]) if len(keys) else counts
 
 
-def _quantised(values: np.ndarray, arrays: dict, meta: dict, name: str) -> None:
+def _quantised(values: np.ndarray, arrays: dict, meta: dict, name: str, kind: type) -> None:
     low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-    step = max((high - low) / ((1 << BITS) - 1), 1e-12)
-    arrays[name] = ef.packed(np.rint((values - low) / step).astype(np.uint64), BITS)
+    step = max((high - low) / np.iinfo(kind).max, 1e-12)
+    arrays[name] = np.rint((values - low) / step).astype(kind)
     meta[name] = [low, step]
 
 
 def _code(arrays: dict, meta: dict, name: str, at: np.ndarray) -> np.ndarray:
     low, step = meta[name]
-    return low + step * ef.unpacked(arrays[name], at, BITS).astype(np.float64)
+    return low + step * arrays[name][at]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -219,11 +274,14 @@ class Trie:
         mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         return ((mixed >> np.uint64(33)) % np.uint64(self.m.deep)).astype(np.int64)
 
-    def trigrams(self, a, b, place, rank, lower) -> np.ndarray:
-        """log10 probabilities: ``place`` of the bigram (a, b), ``rank`` of the third
-        word among b's successors, ``lower`` its bigram log10 probability."""
+    def trigrams(self, a, b, place, lead, rank, lower) -> np.ndarray:
+        """log10 probabilities: ``place`` of bigrams (a, b); ``lead`` the bigram that
+        each trigram begins with, in rising order, ``rank`` its third word's among b's
+        successors, ``lower`` its bigram log10 probability."""
         out = lower.copy()
-        known = np.nonzero(place >= 0)[0]
+        ends = np.searchsorted(lead, np.arange(len(a) + 1))
+        sizes = np.diff(ends)
+        known = np.nonzero((place >= 0) & (sizes > 0))[0]
         for s, at in self.by_shard(self.deep_shard(a[known], b[known])):
             at = known[at]
             arrays, meta, seq = self.file(3, s)
@@ -231,24 +289,28 @@ class Trie:
             at, parent = at[parent >= 0], parent[parent >= 0]
             if not len(at):
                 continue
-            out[at] += _code(arrays, meta, "back", parent)
-            seen = rank[at] >= 0
-            at, parent = at[seen], parent[seen]
-            got = seq["keys"].find(seq["pointers"].at(parent) + rank[at])
+            n = sizes[at]
+            each = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
+            out[each] += np.repeat(_code(arrays, meta, "back", parent), n)
+            keys = np.repeat(seq["pointers"].at(parent), n) + rank[each]
+            seen = rank[each] >= 0
+            each, keys = each[seen], keys[seen]
+            got = seq["keys"].find(keys)
             hit = got >= 0
-            out[at[hit]] = _code(arrays, meta, "prob", got[hit])
+            out[each[hit]] = _code(arrays, meta, "prob", got[hit])
         return out
 
 
 def _pack_block(columns: list[np.ndarray]) -> bytes:
-    """Number columns, the first as differences, each compressed."""
+    """Number columns, the first as differences, byte by byte, each compressed."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     out = []
     for i, c in enumerate(columns):
         c = np.diff(c, prepend=0) if i == 0 else c
-        width = np.uint32 if not len(c) or int(c.max()) < 1 << 32 else np.uint64
-        raw = squeeze(np.ascontiguousarray(c.astype(width)).view(np.uint8).reshape(len(c), -1).T.tobytes())
-        out.append(np.array([len(raw), np.dtype(width).itemsize, len(c)], np.int64).tobytes() + raw)
+        width = -(-int(c.max()).bit_length() // 8) if len(c) else 0
+        c = c.astype(np.uint32 if width <= 4 else np.uint64)
+        raw = squeeze(b"".join((c >> (8 * k)).astype(np.uint8).tobytes() for k in range(width)))
+        out.append(np.array([len(raw), width, len(c)], np.int64).tobytes() + raw)
     return b"".join(out)
 
 
@@ -257,8 +319,10 @@ def _unpack_block(data: bytes) -> list[np.ndarray]:
     expand = zstandard.ZstdDecompressor().decompress
     while at < len(data):
         size, width, n = np.frombuffer(data, np.int64, 3, at).tolist()
-        raw = np.frombuffer(expand(data[at + 24 : at + 24 + size]), np.uint8).reshape(width, n).T
-        c = np.ascontiguousarray(raw).view(np.uint32 if width == 4 else np.uint64).ravel().astype(np.int64)
+        raw = np.frombuffer(expand(data[at + 24 : at + 24 + size]), np.uint8)
+        c = np.zeros(n, np.int64)
+        for k in range(width):
+            c |= raw[k * n : (k + 1) * n].astype(np.int64) << (8 * k)
         out.append(np.cumsum(c) if not out else c)
         at += 24 + size
     return out
@@ -363,8 +427,8 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         ef.nested("keys", ef.EliasFano.build(keys, slots * model.words), arrays, meta)
         ef.nested("pointers", ef.EliasFano.build(np.searchsorted(keys, np.arange(slots + 1) * model.words), len(keys) + 1), arrays, meta)
         prob, back = smooth(counts, 10 ** trie.unigram(keys % model.words), keys // model.words, slots)
-        _quantised(prob, arrays, meta, "prob")
-        _quantised(back, arrays, meta, "back")
+        _quantised(prob, arrays, meta, "prob", np.uint16)
+        _quantised(back, arrays, meta, "back", np.uint8)
         ef.save(model.path(2, s), arrays, meta)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -408,7 +472,9 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
         at = np.nonzero(first)[0]
         parents, successors = trie.bigrams(a[at], b[at])[0], trie.successors(b[at])
-        _, rank, lower, _ = trie.bigrams(b, c)
+        ends, end_of = np.unique(b * model.words + c, return_inverse=True)
+        _, rank, lower, _ = trie.bigrams(ends // model.words, ends % model.words)
+        rank, lower = rank[end_of], lower[end_of]
         # Pairs are in order of their positions but for those of texts' beginnings.
         turn = np.argsort(parents, kind="stable")
         sizes = np.diff(np.append(at, len(a)))
@@ -423,8 +489,8 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         ef.nested("pointers", ef.EliasFano.build(pointers, int(pointers[-1]) + 1), arrays, meta)
         ef.nested("keys", ef.EliasFano.build(pointers[group] + rank, int(pointers[-1]) + 1), arrays, meta)
         prob, back = smooth(n, 10**lower, group, len(parents))
-        _quantised(prob, arrays, meta, "prob")
-        _quantised(back, arrays, meta, "back")
+        _quantised(prob, arrays, meta, "prob", np.uint16)
+        _quantised(back, arrays, meta, "back", np.uint8)
         ef.save(final, arrays, meta)
         if s in three:
             os.remove(temp)
@@ -439,8 +505,8 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
     return model
 
 
-def score_texts(trie: Trie, texts: list[str]) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score and score of each text."""
+def score_texts(trie: Trie, texts: list[pa.Array]) -> dict[str, np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text (not null)."""
     t = Tokens(texts)
     m = trie.m
     if not m.words:  # nothing was learnt: c = N = V = 0
@@ -464,7 +530,7 @@ def score_texts(trie: Trie, texts: list[str]) -> dict[str, np.ndarray]:
     triples, again = np.unique((pair_of[at - 1] << wide) | t.ids[at], return_inverse=True)
     lead, last = triples >> wide, np.empty(len(triples), np.int64)
     last[again] = pair_of[at]
-    value[at] = trie.trigrams(a[lead], b[lead], place[lead], rank[last], two[last])[again]
+    value[at] = trie.trigrams(a, b, place, lead, rank[last], two[last])[again]
     doc = np.repeat(np.arange(len(t.lengths)), t.lengths)
     n = len(t.lengths)
     return {
@@ -490,7 +556,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, folder: str | None = None, shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model)
-        for held, texts in _blocks(batches, 2, SCORED):
+        for held, texts in _blocks(batches, 2):
             out, at = score_texts(trie, texts), 0
             for batch in held:
                 part = slice(at, at + batch.num_rows)
