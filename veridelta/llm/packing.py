@@ -38,7 +38,8 @@ def best_fit(lengths: np.ndarray, sizes: tuple[int, ...], opening: int) -> tuple
     """Bins of lengths in falling order: bin of each, offset in it, used of each bin.
 
     ``room`` keeps the open bins by room left; the bits of ``mask`` say which
-    rooms exist, so the tightest fit is one shift away."""
+    rooms exist, so the tightest fit is one shift away. Of equal rooms the bin
+    filled last is taken."""
     room: dict[int, list[int]] = {}
     mask, used = 0, []
     where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
