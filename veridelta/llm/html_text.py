@@ -268,7 +268,7 @@ def training_page(rng: random.Random) -> str:
             return "<table>" + "".join(f"<tr><td>{_words(rng, 2)}</td><td>{_words(rng, 3)}</td></tr>" for _ in range(rng.randint(2, 6))) + "</table>"
         return f"<pre><code>{_words(rng, 12)}</code></pre>"
 
-    def outside() -> str:
+    def outside(hint: float = hint) -> str:
         kind = rng.choice("ad ad menu notice side form share related comments ad".split())
         if kind == "ad":
             return not_main(rng.choice(("div", "aside", "section", "p")), "advert", rng.choice((_prose(rng, 1, 2), f"<p>{_prose(rng, 1, 2)}</p>", f'<a href="/b">{_words(rng, 6)}</a>')))
@@ -289,10 +289,10 @@ def training_page(rng: random.Random) -> str:
     inner = "".join(block() for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14))))
     if rng.random() < 0.85:
         inner = f"<h1>{title}</h1>" + inner
-    if rng.random() < 0.3:
-        at = inner.find("<p>", len(inner) // 2)
+    for _ in range(rng.choice((0, 0, 1, 2))):  # amid the main text only attributes tell what is not part of it
+        at = inner.find("<p>", rng.randrange(len(inner)))
         at = at if at >= 0 else len(inner)
-        inner = inner[:at] + outside() + inner[at:]
+        inner = inner[:at] + outside(0.97) + inner[at:]
     if rng.random() < 0.2:
         inner += outside()
     holder = rng.choice(("article", "article", "article", "main", "div", "div", "section"))
