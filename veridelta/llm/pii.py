@@ -53,7 +53,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def feistel(values: Column, radix: Column, key: str, kind: Column | str) -> Column:
-    """Keyed permutation of an int array; position i stays below radix[i]."""
+    """Keyed permutation of an int array; position i stays below radix[i]. The only
+    position of an array of one is always moved."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def turn(now: Column, r: Column) -> Column:
@@ -70,7 +71,11 @@ def feistel(values: Column, radix: Column, key: str, kind: Column | str) -> Colu
 
         return let(digest, move)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
+    m = F.get(radix, F.lit(0))
+    step = F.conv(F.sha2(F.concat_ws("|", F.lit(key), kind, m.cast("string")), 256).substr(1, 8), 16, 10).cast("long")
+    alone = F.array(((F.get(values, F.lit(0)) + 1 + step % (m - 1)) % m).cast("int"))
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
+    return F.when((F.size(values) == 1) & (m > 1), alone).otherwise(whole)
 
 
 def _permuted(text: Column, key: str, kind: str, fixed: int = 0) -> Column:
