@@ -171,7 +171,9 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` (all its columns) without the documents that a rule rejects.
 
     Each rule is a filter in cascade order, so a measure is taken only of the
-    rows that earlier rules passed."""
+    rows that earlier rules passed. The optimizer would push the filter on
+    repeated words into its many-step measure and repeat the steps at each use;
+    a column that it may not move keeps it above."""
     df = docs.withColumn("_vd_text", text_of())
     for rule in rule_order(docs, rules):
         used: set[str] = set()
@@ -180,8 +182,9 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
             used.add(name)
             return _SIMPLE[name](F.col("_vd_text")) if name in _SIMPLE else F.col(f"_vd_{name}")
 
-        rule.rejects(column)
+        passes = ~rule.rejects(column)
         if _REPEAT in used:
-            df = with_repeat_words(df, F.col("_vd_text"), f"_vd_{_REPEAT}")
-        df = df.filter(~rule.rejects(column)).drop(f"_vd_{_REPEAT}")
+            df = with_repeat_words(df, F.col("_vd_text"), f"_vd_{_REPEAT}").withColumn("_vd_row", F.monotonically_increasing_id())
+            passes = passes & (F.col("_vd_row") >= 0)
+        df = df.filter(passes).drop(f"_vd_{_REPEAT}", "_vd_row")
     return df.drop("_vd_text")
