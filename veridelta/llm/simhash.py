@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, prepare, text_of, without
@@ -171,13 +171,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, d
     )
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` (all its columns) with one document of every component, the one of
-    the least doc_id (of several texts with that id, the least text hash)."""
-    found = checkpoint(near_duplicates(docs, words, radius))
+def keep_first(docs: DataFrame, found: DataFrame, group: Column) -> DataFrame:
+    """``docs`` with one document of every component of ``found``; ``group`` tells
+    components without an id apart."""
+    found = checkpoint(found)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))
-    # Components of null ids have no id: their fingerprints tell them apart.
-    key = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    key = F.coalesce(F.col("component_id").cast("string"), group.cast("string"))
     first = found.groupBy(key.alias("c")).agg(F.min(rank).alias("r")).select("c", "r.doc_id", "r.text_hash")
     stays = first.select(F.col("c"), F.col("doc_id").alias("kd"), F.col("text_hash").alias("kt"))
     losers = (
@@ -187,3 +186,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
         .select("doc_id", "text_hash")
     )
     return without(docs, losers, {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(text_of())})
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``docs`` (all its columns) with one document of every component, the one of
+    the least doc_id (of several texts with that id, the least text hash)."""
+    return keep_first(docs, near_duplicates(docs, words, radius), F.col("fingerprint"))
