@@ -3,7 +3,9 @@
 Every source has a mean repetition rate: target weight x all text / its text.
 A document's copies are the inverse Poisson distribution with that mean at a
 uniform number seeded by the document's hash, so the draw is repeatable and
-needs no state. Copies are exploded and shuffled globally by a hash key.
+needs no state. A rate over MOST is the sum of equal draws of at most MOST, each
+at a uniform number of its own. Copies are exploded and shuffled globally by a
+hash key.
 """
 
 from __future__ import annotations
@@ -14,17 +16,38 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, checkpoint, text_of
 
 SEED = "mix-1"
-#: exp(-rate) must not underflow.
+#: exp(-rate) must not underflow; larger rates are drawn in parts.
 MOST = 700.0
 
 
-def uniform(seed: str = SEED) -> Column:
-    """48 bits of MD5 over seed, doc_id and text, in [0, 1)."""
+def _digest(seed: str) -> Column:
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), ident, F.lit("|"), text_of()))
+    return F.md5(F.concat(F.lit(f"{seed}|"), ident, F.lit("|"), text_of()))
+
+
+def _unit(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def uniform(seed: str = SEED) -> Column:
+    """48 bits of MD5 over seed, doc_id and text, in [0, 1)."""
+    return _unit(_digest(seed))
+
+
+def _further(cdf: Column, parts: Column, seed: str) -> Column:
+    """Sum of the draws 1.. of ``parts``; the MD5 of a draw's number and of the
+    document's first digest gives its uniform number."""
+
+    def draw(digest: Column, k: Column) -> Column:
+        at = F.array(_unit(F.md5(F.concat(k.cast("string"), F.lit("|"), digest))))
+        return F.element_at(F.transform(at, lambda u: F.size(F.filter(cdf, lambda c: c <= u))), 1)
+
+    def total(digest: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), parts - 1), F.lit(0), lambda n, k: n + draw(digest, k))
+
+    return F.element_at(F.transform(F.array(_digest(seed)), total), 1)
+
+
 def _cdf(rate: Column) -> Column:
     """P(X <= k) for k = 0.. until what is left is under 2^-48."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
@@ -57,7 +80,6 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     if all_mass == 0 or all_w == 0:
         return weighed.select("source", F.lit(1.0 if weights is None else 0.0).alias("rate"))
     rate = F.when(F.col("mass") > 0, F.col("w") / F.lit(all_w) * F.lit(all_mass) / F.col("mass")).otherwise(1.0)
-    rate = F.when(rate > MOST, F.raise_error(F.lit(f"a source would be repeated over {MOST:g} times"))).otherwise(rate)
     return weighed.select("source", rate.cast("double").alias("rate"))
 
 
@@ -68,16 +90,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
     A null source is a source of its own; null text is empty and weighs
     nothing (rate 1 where a source has no text at all). Equal rows draw the
     same number. A column of docs with one of these two names is replaced."""
-    rate = rates(docs, weights, alpha).select(F.col("source").alias("_vd_source"), _cdf(F.col("rate")).alias("_vd_cdf"))
-    rate = checkpoint(rate)
+    rate = rates(docs, weights, alpha).withColumn("_vd_parts", F.greatest(F.ceil(F.col("rate") / MOST), F.lit(1)).cast("long"))
+    rate = checkpoint(rate.select(F.col("source").alias("_vd_source"), "_vd_parts", _cdf(F.col("rate") / F.col("_vd_parts")).alias("_vd_cdf")))
     if rate.count() <= BROADCAST_ROWS // 100:  # a CDF has some 40 numbers
         rate = F.broadcast(rate)
     columns = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
     df = docs.select(*(F.col(f"`{c}`") for c in columns))
+    first = F.size(F.filter("_vd_cdf", lambda c: c <= F.col("_vd_u")))
+    more = F.when(F.col("_vd_parts") > 1, _further(F.col("_vd_cdf"), F.col("_vd_parts"), seed)).otherwise(0)
     drawn = (
         df.withColumn("_vd_u", uniform(seed))
         .join(rate, F.col("source").eqNullSafe(F.col("_vd_source")), "left")
-        .withColumn("_vd_n", F.size(F.filter("_vd_cdf", lambda c: c <= F.col("_vd_u"))))
+        .withColumn("_vd_n", first + more)
         .filter("_vd_n > 0")
     )
     copies = drawn.select(*(F.col(f"`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), F.col("_vd_n"))).alias("mix_copy"))
