@@ -33,16 +33,24 @@ _IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 _SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 _PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{8,15}"
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: 13 or more digits over spaces and hyphens; a card may lie anywhere between them.
+_RUN = r"(?=(?:[ -]*[0-9]){13})[0-9][0-9 -]*[0-9](?![0-9@_%+]|[./][A-Za-z0-9])"
 
 #: One scan finds all kinds; ``_VALUE`` counts only behind its credential's name.
-_PATTERN = "|".join(
-    (
-        rf"(?<={_CREDENTIAL}){_VALUE}",
-        rf"(?<![A-Za-z0-9])(?:{_AWS}|{_EMAIL}|{_IBAN}|{_ISO}|{_DMY.replace('([./-])', '(?<s>[./-])').replace(chr(92) + '1', chr(92) + 'k<s>')}"
-        rf"|{_IP}(?!\.?[0-9])|{_SSN}|{_CARD}|{_PHONE})(?![A-Za-z0-9])",
-        rf"(?<![0-9])(?:{_PHONE})(?![0-9])",
+def _kinds(cards: str) -> str:
+    return "|".join(
+        (
+            rf"(?<={_CREDENTIAL}){_VALUE}",
+            rf"(?<![A-Za-z0-9])(?:{_AWS}|{_EMAIL}|{_IBAN}|{_ISO}|{_DMY.replace('([./-])', '(?<s>[./-])').replace(chr(92) + '1', chr(92) + 'k<s>')}"
+            rf"|{_IP}(?!\.?[0-9])|{_SSN}|{cards}|{_PHONE})(?![A-Za-z0-9])",
+            rf"(?<![0-9])(?:{_PHONE})(?![0-9])",
+        )
     )
-)
+
+
+_PATTERN = _kinds(f"{_RUN}|{_CARD}")
+#: What is left of a run beside its cards is scanned without looking for runs.
+_REST = _kinds(_CARD)
 #: A text without any of these characters holds none of the kinds.
 _HINT = r"[0-9@=:]"
 
@@ -204,20 +212,101 @@ def pseudonym(found: Column, key: str = KEY) -> Column:
     )
 
 
+def _scan(text: Column, pattern: str, each: Callable[[Column], Column]) -> Column:
+    """Array of (o, n): gaps as they are, and what ``each`` gives for the matches."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+    def parts(p: Column) -> Column:
+        gap = F.array(_pair(p["g"], p["g"]))
+        return F.when(p["m"].isNull(), gap).otherwise(F.concat(gap, each(p["m"])))
+
+    return F.flatten(F.transform(pairs, parts))
+
+
+def _pair(old: Column, new: Column) -> Column:
+    return F.struct(old.alias("o"), new.alias("n"))
+
+
+def _cards(run: Column) -> Column:
+    """Places (s, e) of the cards in a run, in order: whole groups of digits, 13 to
+    19 together, that pass Luhn; the longest first, then the first."""
+
+    def spans(chars: Column) -> Column:
+        def digit(i: Column) -> Column:
+            return F.coalesce(F.get(chars, i - 1), F.lit("")).rlike("[0-9]")
+
+        def ends(s: Column) -> Column:
+            def fits(e: Column) -> Column:
+                t = F.array_join(F.slice(chars, s, e - s + 1), "")
+                return digit(e) & ~digit(e + 1) & t.rlike(f"^{_CARD}$") & (_luhn(_digits(t)) % 10 == 0)
+
+            def span(e: Column) -> Column:
+                n = F.length(_digits(F.array_join(F.slice(chars, s, e - s + 1), "")))
+                return F.struct((-n).alias("k"), s.alias("s"), e.alias("e"))
+
+            last = F.least(s + 36, F.size(chars))
+            return F.when(last >= s + 12, F.transform(F.filter(F.sequence(s + 12, F.greatest(last, s + 12)), fits), span)).otherwise(F.array().cast(kind))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(chars)), lambda i: digit(i) & ~F.when(i > 1, digit(F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(False)))
+        return F.array_sort(F.flatten(F.transform(starts, ends)))
+
+    kind = "array<struct<k:int,s:int,e:int>>"
+    found = let(F.split(run, ""), lambda c: spans(F.filter(c, lambda x: x != "")))
+    apart = F.aggregate(
+        found, F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: (y["s"] <= x["e"]) & (x["s"] <= y["e"])), a).otherwise(F.array_append(a, x))
+    )
+    return F.array_sort(F.transform(apart, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+
+def _plain_digits(found: Column, key: str) -> Column:
+    """``pseudonym`` of the kinds that hold only digits, spaces and hyphens."""
+    ssn = ~found.rlike("^(?:000|666|9..)|-00-|-0000$")
+    return (
+        F.when(found.rlike(f"^(?:{_ISO})$"), _date(found, key, F.lit("yyyy-MM-dd")))
+        .when(found.rlike(f"^(?:{_DMY})$"), _dmy(found, key))
+        .when(found.rlike(f"^(?:{_SSN})$"), F.when(ssn, _plain(found, key, "ssn")).otherwise(found))
+        .when(found.rlike(f"^(?:{_PHONE})$"), _plain(found, key, "phone"))
+        .otherwise(found)
+    )
+
+
+def _inside(run: Column, key: str) -> Column:
+    """(o, n) of a run that is no card itself: the cards in it, and the other kinds
+    in what is left."""
+
+    def rest(text: Column) -> Column:
+        return _scan(text, _REST, lambda m: F.array(_pair(m, _plain_digits(m, key))))
+
+    def cut(cards: Column) -> Column:
+        def piece(i: Column) -> Column:
+            low = F.when(i > 0, F.get(cards, i - 1)["e"] + 1).otherwise(F.lit(1))
+            here = F.get(cards, i)
+            before = rest(run.substr(low, F.coalesce(here["s"], F.length(run) + 1) - low))
+            card = run.substr(here["s"], here["e"] - here["s"] + 1)
+            return F.concat(before, F.transform(F.filter(F.array(card), lambda c: c.isNotNull()), lambda c: _pair(c, _card(c, key))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cards)), piece))
+
+    return let(_cards(run), cut)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, and n_replaced for every row of ``docs``.
 
-    Null text is empty. Matches that don't validate stay. Repeated rows come
-    back alike; an empty table gives no rows; other columns are not read."""
+    Null text is empty. Matches that don't validate stay; in a run of digits that
+    is no card, the groups that make one are replaced. Repeated rows come back
+    alike; an empty table gives no rows; other columns are not read."""
+
+    def each(m: Column) -> Column:
+        digits = _digits(m)
+        run = m.rlike(r"^[0-9][0-9 -]*[0-9]$") & (F.length(digits) >= 13) & ~(m.rlike(f"^{_CARD}$") & (_luhn(digits) % 10 == 0))
+        return F.when(run, _inside(m, key)).otherwise(F.array(_pair(m, pseudonym(m, key))))
+
     df = docs.select(F.col("doc_id").alias("_vd_id"), text_of().alias("_vd_text"))
-    hinted = F.col("_vd_text").rlike(_HINT)
-    df = df.withColumn("_vd_found", F.when(hinted, F.regexp_extract_all("_vd_text", F.lit(_PATTERN), F.lit(0))))
-    some = F.size("_vd_found") > 0
-    df = df.withColumn("_vd_new", F.when(some, F.transform("_vd_found", lambda m: pseudonym(m, key))))
-    gaps = F.split("_vd_text", _PATTERN, -1)
-    pairs = F.arrays_zip(gaps.alias("g"), F.col("_vd_new").alias("n"))
-    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["g"], F.coalesce(p["n"], F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_vd_found", "_vd_new", lambda a, b: a != b), lambda x: x))
+    some = F.col("_vd_text").rlike(_HINT)
+    df = df.withColumn("_vd_parts", F.when(some, _scan(F.col("_vd_text"), _PATTERN, each)))
+    joined = F.array_join(F.transform("_vd_parts", lambda p: p["n"]), "")
+    changed = F.size(F.filter("_vd_parts", lambda p: p["o"] != p["n"]))
     return df.select(
         F.col("_vd_id").alias("doc_id"),
         F.when(some, joined).otherwise(F.col("_vd_text")).alias("text"),
