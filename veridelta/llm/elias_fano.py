@@ -139,6 +139,12 @@ class EliasFano:
         """Values at positions."""
         return self._by_part(self._at, i)
 
+    def all(self) -> np.ndarray:
+        """The whole sequence."""
+        at = np.arange(self.n)
+        high = np.flatnonzero(np.unpackbits(self.upper.view(np.uint8), bitorder="little"))[: self.n] - at
+        return (high << self.low_bits) | unpacked(self.low, at, self.low_bits).astype(np.int64)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Position of each value, or -1."""
         return self._by_part(self._find, values)

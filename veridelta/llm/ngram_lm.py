@@ -1,16 +1,23 @@
 """Trigram language model in an Elias-Fano trie.
 
-Counting: tasks count n-grams of about two million tokens at a time and send each
-shard one compressed block of them, so the shuffle holds every distinct n-gram
-of a block once. Level 1 is the vocabulary by 63-bit word hash; level 2 holds
-each word's successors; level 3 names a word by its rank among the successors of
-the word before it (context-relative), behind monotone pointers. Probabilities
-are interpolated with modified absolute discounting, whose discounts each shard
-(a hash sample of the contexts) estimates, and quantised.
+Level 1 is the vocabulary in order of a 63-bit word hash, with every word's bytes:
+words are told apart by their bytes, the hash only finds them. Level 2 holds each
+word's successors; level 3 names a word by its rank among the successors of the
+word before it (context-relative), behind monotone pointers. Probabilities are
+interpolated with modified absolute discounting, with one set of discounts for
+all bigrams and one for all trigrams, and quantised on fixed scales, so a score
+does not depend on how the levels are dealt to shards.
+
+Counting: one pass over the texts for each level. Tasks count about a million
+tokens at a time and send each shard one compressed block of them; the third pass
+already sends places and ranks in level 2, which are small numbers. A context
+that occurs more often than a shard has tokens is dealt to several shards, by
+ranges of the next word (level 2) or by its rank (level 3), so no task gathers an
+unbounded context.
 
 The levels are files in the session's shared folder, written by the tasks and
 memory-mapped by those that score. Nothing of the model passes the driver but
-counts per shard. A lost task writes its file again.
+counts per shard and the few split contexts. A lost task writes its file again.
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +42,13 @@ from . import elias_fano as ef
 from .common import checkpoint, prepare, shared_folder, text_of
 
 #: Tokens that a task counts, or scores, at a time (a longer text makes a longer block).
-BLOCK = 2_000_000
-#: Words, bigrams and trigrams that a shard of a level holds, about.
+BLOCK = 1_000_000
+#: Tokens that a shard of a level stands for, about; a context with more is split.
 SHARD = 2_500_000
-END = b"\n"  # no word holds white space
+END = "\n"  # no word holds white space
 _HASH_BITS = 63
+#: log10 scales of the codes: greatest loss, and type.
+PROB, BACK = (-24.0, np.uint16), (-6.0, np.uint8)
 
 
 def held_out(doc_id: Column, folds: int = 10) -> Column:
@@ -86,46 +95,59 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mixed(out)
 
 
-_END_HASH = int(word_hashes(np.frombuffer(END, np.uint8), np.array([0]), np.array([1]))[0])
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, and the n + 1 places where they begin and end."""
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8) if len(words) else np.zeros(1, np.int64)
+    size = int(edges[-1] - edges[0])
+    return np.frombuffer(data, np.uint8, size, int(edges[0])) if size else np.zeros(0, np.uint8), edges - edges[0]
+
+
+def _same(data: np.ndarray, at: np.ndarray, other: np.ndarray, other_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes`` (one or more) bytes of ``data`` at ``at`` equal those of ``other``."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    first = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    differs = data[np.repeat(at, sizes) + step] != other[np.repeat(other_at, sizes) + step]
+    return ~np.bitwise_or.reduceat(differs, first)
 
 
 class Tokens:
-    """Texts as numbers: ``ids`` of distinct words by their ``hashes`` in rising
-    order, one END after each text."""
+    """Texts as numbers: ``ids`` into the distinct ``words``, one END (the last of
+    them) after each text."""
 
     def __init__(self, columns: list[pa.Array]):
-        parts, lengths = [], []
-        for column in columns:
-            hashes, words = self._split(column.cast(pa.large_string()))
-            text = np.repeat(np.arange(len(words)), words)
-            part = np.full(len(hashes) + len(words), _END_HASH, np.int64)
-            part[np.arange(len(hashes)) + text] = hashes
-            parts.append(part)
-            lengths.append(words + 1)
-        none = np.zeros(0, np.int64)
-        self.lengths = np.concatenate(lengths) if lengths else none
-        self.hashes, self.ids = np.unique(np.concatenate(parts) if parts else none, return_inverse=True)
+        texts = pa.chunked_array([c.cast(pa.large_string()) for c in columns], pa.large_string()).combine_chunks()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        edges = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten()
+        full = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        if not full.all():  # white space at a text's ends makes empty words
+            edges = np.concatenate(([0], np.cumsum(full)))[edges - edges[0]]
+            words = words.filter(pa.array(full))
+        coded = words.dictionary_encode()
+        del words, split
+        self.words = pa.concat_arrays([coded.dictionary.cast(pa.large_string()), pa.array([END], pa.large_string())])
+        sizes = np.diff(edges)
+        self.lengths = sizes + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.full(len(coded) + len(sizes), len(self.words) - 1, np.int64)
+        self.ids[np.arange(len(coded)) + np.repeat(np.arange(len(sizes)), sizes)] = coded.indices.to_numpy()
+
+    def before(self) -> np.ndarray:
+        """The token before each; ``len(words)`` stands for a text's beginning."""
+        out = np.empty_like(self.ids)
+        out[1:] = self.ids[:-1]
+        out[self.starts] = len(self.words)
+        return out
 
-    @staticmethod
-    def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words in order, and the number of words of each text."""
-        _, offsets, data = texts.buffers()
-        edges = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
-        size = int(edges[-1] - edges[0])
-        if not size:
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        data, edges = np.frombuffer(data, np.uint8, size, int(edges[0])), edges - edges[0]
-        data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        first, last = ~space, np.zeros(size + 1, bool)
-        last[1:] = first
-        first[1:] &= space[:-1]
-        last[1:-1] &= space[1:]
-        cut = edges[(edges > 0) & (edges < size)]  # a word ends with its text
-        first[cut], last[cut] = ~space[cut], ~space[cut - 1]
-        starts = np.nonzero(first)[0]
-        return word_hashes(data, starts, np.nonzero(last)[0]), np.diff(np.searchsorted(starts, edges))
+    def inner(self) -> np.ndarray:
+        """Places of the tokens that are not the first of their text."""
+        inner = np.ones(len(self.ids), bool)
+        inner[self.starts] = False
+        return np.nonzero(inner)[0]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text_column: int, block: int = BLOCK) -> Iterator[tuple[list[pa.RecordBatch], list[pa.Array]]]:
@@ -149,16 +171,13 @@ def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, np.nonzero(first)[0]) if len(keys) else counts
 
 
-def _quantised(values: np.ndarray, arrays: dict, meta: dict, name: str, kind: type) -> None:
-    low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-    step = max((high - low) / np.iinfo(kind).max, 1e-12)
-    arrays[name] = np.rint((values - low) / step).astype(kind)
-    meta[name] = [low, step]
+def _coded(values: np.ndarray, scale: tuple[float, type]) -> np.ndarray:
+    most = np.iinfo(scale[1]).max
+    return np.rint(np.clip(values / scale[0], 0, 1) * most).astype(scale[1])
 
 
-def _code(arrays: dict, meta: dict, name: str, at: np.ndarray) -> np.ndarray:
-    low, step = meta[name]
-    return low + step * arrays[name][at]
+def _decoded(codes: np.ndarray, scale: tuple[float, type]) -> np.ndarray:
+    return codes * (scale[0] / np.iinfo(scale[1]).max)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -169,6 +188,38 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([np.clip(d, 0.1 * k, 0.98 * k) for k, d in enumerate(out, 1)])
 
 
+class Split:
+    """Contexts that are dealt to several shards: ``at`` (rising), how many ``parts``
+    each, the first shard of each, and the sums over its parts."""
+
+    def __init__(self, at=(), counts=(), shard: int = 1, base: int = 0):
+        self.at = np.asarray(at, np.int64)
+        self.parts = -(-np.asarray(counts, np.int64) // shard)
+        self.first = base + np.cumsum(self.parts) - self.parts
+        self.end = base + int(self.parts.sum())
+        self.back = np.zeros(len(self.at))
+        self.total = np.ones(len(self.at))
+
+    def find(self, contexts: np.ndarray) -> np.ndarray:
+        """Number of each context among the split ones, or -1."""
+        if not len(self.at):
+            return np.full(len(contexts), -1)
+        i = np.minimum(np.searchsorted(self.at, contexts), len(self.at) - 1)
+        return np.where(self.at[i] == contexts, i, -1)
+
+    def owner(self, shard: int) -> int:
+        return int(np.searchsorted(self.first, shard, side="right")) - 1
+
+    def weigh(self, stats: dict[int, dict], cut: np.ndarray) -> None:
+        """Total and back-off weight of each from the counts of its shards."""
+        for i, (first, parts) in enumerate(zip(self.first.tolist(), self.parts.tolist())):
+            own = [stats[s] for s in range(first, first + parts) if s in stats]
+            total = sum(x["total"] for x in own)
+            once, twice = (sum(x["seen"][k] for x in own) for k in (0, 1))
+            lost = np.dot(cut, (once, twice, sum(x["n"] for x in own) - once - twice))
+            self.total[i], self.back[i] = total or 1, lost / total if total else 1.0
+
+
 @dataclass
 class Model:
     """Where the trie is and how it is dealt to shards."""
@@ -176,27 +227,29 @@ class Model:
     folder: str
     tokens: int = 0
     words: int = 0
-    bits: int = 0  # shards of levels 1 and 2: 2^bits, by the top bits of a word's hash
-    deep: int = 1  # shards of level 3, by a hash of the two words before
-    first: list[int] = field(default_factory=list)  # number of the first word of each shard
-    pairs: list[int] = field(default_factory=list)  # number of the first bigram of each shard
+    bits: int = 0  # shards of level 1: 2^bits, by the top bits of a word's hash; level 2 has those of split words besides
+    deep: int = 1  # shards of level 3, by a hash of the bigram's place, and those of split bigrams
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of the first word of each shard
+    places: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  # place of the first bigram of each shard, and their number
+    split_words: Split = field(default_factory=Split)
+    split_pairs: Split = field(default_factory=Split)
+    cuts: dict[int, np.ndarray] = field(default_factory=dict)  # discounts of levels 2 and 3
 
-    def path(self, level: int, shard: int) -> str:
-        return f"{self.folder}/level{level}-{shard}.ef"
+    def path(self, what: str, shard: int) -> str:
+        return f"{self.folder}/{what}-{shard}.ef"
 
 
 class Trie:
-    """The levels as one task sees them: shards are mapped when first asked."""
+    """The levels as one task sees them: files are mapped when first asked."""
 
     def __init__(self, model: Model):
         self.m, self.files = model, {}
-        self.first = np.array(model.first or [0], np.int64)
         self.begin = self.m.words  # the number that stands for a text's beginning
 
-    def file(self, level: int, shard: int):
-        key = level, shard
+    def file(self, what: str, shard: int):
+        key = what, shard
         if key not in self.files:
-            arrays, meta = ef.load(self.m.path(level, shard))
+            arrays, meta = ef.load(self.m.path(what, shard))
             sequences = {k: ef.sequence(k, arrays, meta) for k, v in meta.items() if isinstance(v, dict)}
             self.files[key] = arrays, meta, sequences
         return self.files[key]
@@ -211,98 +264,160 @@ class Trie:
             for part in np.split(order, ends):
                 yield int(shards[part[0]]), part
 
-    def words(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words, -1 for unknown ones."""
-        out = np.full(len(hashes), -1, np.int64)
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words, -1 for unknown ones: the hash finds, the bytes decide."""
+        data, edges = _buffers(words)
+        hashes, sizes = word_hashes(data, edges[:-1], edges[1:]), np.diff(edges)
+        out = np.full(len(words), -1, np.int64)
         for s, at in self.by_shard(hashes >> (_HASH_BITS - self.m.bits)):
-            got = self.file(1, s)[2]["hashes"].find(hashes[at] & ((1 << (_HASH_BITS - self.m.bits)) - 1))
-            out[at] = np.where(got >= 0, got + self.first[s], -1)
+            arrays, meta, seq = self.file("words", s)
+            want = hashes[at] & ((1 << (_HASH_BITS - self.m.bits)) - 1)
+            got = seq["hashes"].find(want)
+            at, got, want = at[got >= 0], got[got >= 0], want[got >= 0]
+            begin = seq["edges"].at(got)
+            fits = seq["edges"].at(got + 1) - begin == sizes[at]
+            fits[fits] = _same(data, edges[at[fits]], arrays["bytes"], begin[fits], sizes[at[fits]])
+            out[at[fits]] = got[fits] + self.m.first[s]
+            for i, g, h in zip(at[~fits].tolist(), got[~fits].tolist(), want[~fits].tolist()):
+                word = data[edges[i] : edges[i + 1]].tobytes()
+                for step in (-1, 1):  # other words of that hash lie beside
+                    place = g + step
+                    while 0 <= place < meta["n"] and int(seq["hashes"].at(np.array([place]))[0]) == h:
+                        a, b = seq["edges"].at(np.array([place, place + 1])).tolist()
+                        if arrays["bytes"][a:b].tobytes() == word:
+                            out[i] = place + self.m.first[s]
+                        place += step
         return out
 
     def shard_of(self, words: np.ndarray) -> np.ndarray:
-        """Shard of a word's number; the beginning lives in shard 0."""
-        found = np.searchsorted(self.first, words, side="right") - 1
+        """Level 1 shard of a word's number; the beginning lives in shard 0."""
+        found = np.searchsorted(self.m.first, words, side="right") - 1
         return np.where(words == self.begin, 0, found)
 
+    def pair_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Level 2 shard of the bigrams; an unknown b is looked for in a's first."""
+        out, split = self.shard_of(a), self.m.split_words
+        i = split.find(a)
+        at = np.nonzero(i >= 0)[0]
+        i = i[at]
+        out[at] = split.first[i] + np.maximum(b[at], 0) * split.parts[i] // self.m.words
+        return out
+
     def local(self, words: np.ndarray, shard: int) -> np.ndarray:
-        return np.where(words == self.begin, self.file(1, shard)[1]["n"], words - self.first[shard])
+        """Slot of words in a shard of level 2: a split word is alone in its shards."""
+        if shard >= 1 << self.m.bits:
+            return np.zeros(len(words), np.int64)
+        return np.where(words == self.begin, self.file("words", shard)[1]["n"], words - self.m.first[shard])
+
+    def slots(self, shard: int) -> int:
+        return 1 if shard >= 1 << self.m.bits else self.file("words", shard)[1]["n"] + (shard == 0)
 
     def counts(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words), np.int64)
         known = np.nonzero(words >= 0)[0]
         for s, at in self.by_shard(self.shard_of(words[known])):
-            arrays, meta, _ = self.file(1, s)
-            out[known[at]] = ef.unpacked(arrays["counts"], words[known[at]] - self.first[s], meta["width"]).astype(np.int64)
+            arrays, meta, _ = self.file("words", s)
+            out[known[at]] = ef.unpacked(arrays["counts"], words[known[at]] - self.m.first[s], meta["width"]).astype(np.int64)
         return out
 
     def unigram(self, words: np.ndarray) -> np.ndarray:
         """log10 of (count + 0.1) / (N + 0.1 (V + 1))."""
         return np.log10((self.counts(words) + 0.1) / (self.m.tokens + 0.1 * (self.m.words + 1)))
 
-    def bigrams(self, a: np.ndarray, b: np.ndarray, level: int = 2):
-        """Position (over all shards, or -1) of each bigram, its rank among the
-        successors of a, log10 probability, and log10 back-off weight of a."""
+    def bigrams(self, a: np.ndarray, b: np.ndarray, coded: bool = True):
+        """Place (or -1) of each bigram, its rank among the successors of a, and, once
+        they are ``coded``, its log10 probability and a's log10 back-off weight."""
         n = len(a)
         place, rank = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         prob, back = np.full(n, np.nan), np.zeros(n)
         known = np.nonzero(a >= 0)[0]
-        for s, at in self.by_shard(self.shard_of(a[known])):
+        for s, at in self.by_shard(self.pair_shard(a[known], b[known])):
             at = known[at]
-            arrays, meta, seq = self.file(level, s)
+            seq = self.file("pairs", s)[2]
             left = self.local(a[at], s)
-            if "back" in meta:
-                back[at] = _code(arrays, meta, "back", left)
             got = seq["keys"].find(np.where(b[at] >= 0, left * self.m.words + b[at], -1))
             hit = got >= 0
-            at, got = at[hit], got[hit]
-            place[at] = got + (self.m.pairs[s] if self.m.pairs else 0)
-            rank[at] = got - seq["pointers"].at(left[hit])
-            if "prob" in meta:
-                prob[at] = _code(arrays, meta, "prob", got)
+            codes = self.file("pair-codes", s)[0] if coded else {}
+            if coded:
+                back[at] = _decoded(codes["back"][left], BACK)
+            at, got, left = at[hit], got[hit], left[hit]
+            place[at] = got + self.m.places[s]
+            rank[at] = got - seq["pointers"].at(left)
+            if s >= 1 << self.m.bits:  # the ranks of a split word run through its shards
+                split = self.m.split_words
+                rank[at] += self.m.places[s] - self.m.places[split.first[split.owner(s)]]
+            if coded:
+                prob[at] = _decoded(codes["prob"][got], PROB)
         return place, rank, prob, back
 
-    def successors(self, words: np.ndarray) -> np.ndarray:
-        """How many different words follow each word."""
-        out = np.zeros(len(words), np.int64)
-        for s, at in self.by_shard(self.shard_of(words)):
-            pointers = self.file(2, s)[2]["pointers"]
-            left = self.local(words[at], s)
-            out[at] = pointers.at(left + 1) - pointers.at(left)
+    def successors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word's first successor, and how many there are."""
+        begin, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        split = self.m.split_words
+        i = split.find(words)
+        at = np.nonzero(i >= 0)[0]
+        begin[at] = self.m.places[split.first[i[at]]]
+        n[at] = self.m.places[split.first[i[at]] + split.parts[i[at]]] - begin[at]
+        rest = np.nonzero(i < 0)[0]
+        for s, at in self.by_shard(self.shard_of(words[rest])):
+            at = rest[at]
+            pointers, left = self.file("pairs", s)[2]["pointers"], self.local(words[at], s)
+            begin[at] = pointers.at(left)
+            n[at] = pointers.at(left + 1) - begin[at]
+            begin[at] += self.m.places[s]
+        return begin, n
+
+    def _place_shard(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.m.places[:-1], places, side="right") - 1
+
+    def second(self, places: np.ndarray) -> np.ndarray:
+        """The second word of the bigrams at ``places``."""
+        out = np.empty(len(places), np.int64)
+        for s, at in self.by_shard(self._place_shard(places)):
+            out[at] = self.file("pairs", s)[2]["keys"].at(places[at] - self.m.places[s]) % self.m.words
         return out
 
-    def deep_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return ((mixed >> np.uint64(33)) % np.uint64(self.m.deep)).astype(np.int64)
+    def place_probs(self, places: np.ndarray) -> np.ndarray:
+        out = np.empty(len(places))
+        for s, at in self.by_shard(self._place_shard(places)):
+            out[at] = _decoded(self.file("pair-codes", s)[0]["prob"][places[at] - self.m.places[s]], PROB)
+        return out
 
-    def trigrams(self, a, b, place, lead, rank, lower) -> np.ndarray:
-        """log10 probabilities: ``place`` of bigrams (a, b); ``lead`` the bigram that
-        each trigram begins with, in rising order, ``rank`` its third word's among b's
-        successors, ``lower`` its bigram log10 probability."""
+    def deep_shard(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Level 3 shard of trigrams, by their first bigram's place; those of a split
+        bigram are dealt by rank."""
+        mixed = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = ((mixed >> np.uint64(33)) % np.uint64(self.m.deep)).astype(np.int64)
+        split = self.m.split_pairs
+        i = split.find(place)
+        at = np.nonzero(i >= 0)[0]
+        out[at] = split.first[i[at]] + np.maximum(rank[at], 0) % split.parts[i[at]]
+        return out
+
+    def trigrams(self, place: np.ndarray, rank: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 probabilities of trigrams, in any order with equal places together:
+        ``place`` of the first bigram (or -1), ``rank`` of the third word among the
+        second's successors (or -1), ``lower`` the second bigram's log10 probability."""
         out = lower.copy()
-        ends = np.searchsorted(lead, np.arange(len(a) + 1))
-        sizes = np.diff(ends)
-        known = np.nonzero((place >= 0) & (sizes > 0))[0]
-        for s, at in self.by_shard(self.deep_shard(a[known], b[known])):
+        known = np.nonzero(place >= 0)[0]
+        for s, at in self.by_shard(self.deep_shard(place[known], rank[known])):
             at = known[at]
-            arrays, meta, seq = self.file(3, s)
-            parent = seq["parents"].find(place[at])
-            at, parent = at[parent >= 0], parent[parent >= 0]
-            if not len(at):
-                continue
-            n = sizes[at]
-            each = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
-            out[each] += np.repeat(_code(arrays, meta, "back", parent), n)
-            keys = np.repeat(seq["pointers"].at(parent), n) + rank[each]
-            seen = rank[each] >= 0
-            each, keys = each[seen], keys[seen]
+            seq, codes = self.file("triples", s)[2], self.file("triple-codes", s)[0]
+            first = np.concatenate(([0], np.nonzero(place[at][1:] != place[at][:-1])[0] + 1))
+            sizes = np.diff(np.append(first, len(at)))
+            parent = seq["parents"].find(place[at[first]])
+            hit = parent >= 0
+            at, sizes, parent = at[np.repeat(hit, sizes)], sizes[hit], parent[hit]
+            out[at] += np.repeat(_decoded(codes["back"][parent], BACK), sizes)
+            keys = np.repeat(seq["pointers"].at(parent), sizes) + rank[at]
+            at, keys = at[rank[at] >= 0], keys[rank[at] >= 0]
             got = seq["keys"].find(keys)
-            hit = got >= 0
-            out[each[hit]] = _code(arrays, meta, "prob", got[hit])
+            out[at[got >= 0]] = _decoded(codes["prob"][got[got >= 0]], PROB)
         return out
 
 
-def _pack_block(columns: list[np.ndarray]) -> bytes:
-    """Number columns, the first as differences, byte by byte, each compressed."""
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Number columns, the first (rising) as differences, byte by byte, each compressed."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     out = []
     for i, c in enumerate(columns):
@@ -314,7 +429,7 @@ def _pack_block(columns: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
-def _unpack_block(data: bytes) -> list[np.ndarray]:
+def _unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     expand = zstandard.ZstdDecompressor().decompress
     while at < len(data):
@@ -339,169 +454,239 @@ def _shared_path(spark: SparkSession, folder: str | None) -> str:
     return url.path
 
 
+# --- counting --------------------------------------------------------------
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, block in _blocks(batches, 0):
+        t = Tokens(block)
+        n = np.bincount(t.ids, minlength=len(t.words))
+        yield pa.RecordBatch.from_arrays([t.words.cast(pa.string()), pa.array(n.astype(np.int64))], ["w", "c"])
+
+
+def _blocks_of(shards: np.ndarray, columns) -> pa.RecordBatch:
+    """One packed block for each shard; ``columns(s, at)`` gives its columns."""
+    rows = []
+    for s, at in Trie.by_shard(shards):
+        found = columns(s, at)
+        order = np.argsort(found[0], kind="stable")
+        rows.append((s, _pack([c[order] for c in found])))
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["s", "block"])
+
+
+def _pairs_of(t: Tokens) -> tuple[np.ndarray, np.ndarray, int]:
+    """The two words of every token's bigram as one number, and its width in bits."""
+    wide = max(21, (len(t.words) + 1).bit_length())
+    return (t.before() << wide) | t.ids, wide
+
+
+def _count_pairs(trie: Trie, block: list[pa.Array]) -> pa.RecordBatch:
+    t = Tokens(block)
+    number = np.append(trie.numbers(t.words), trie.begin)
+    both, wide = _pairs_of(t)
+    del t
+    pairs, n = np.unique(both, return_counts=True)
+    a, b = number[pairs >> wide], number[pairs & ((1 << wide) - 1)]
+    return _blocks_of(trie.pair_shard(a, b), lambda s, at: (trie.local(a[at], s) * trie.m.words + b[at], n[at]))
+
+
+def _count_triples(trie: Trie, block: list[pa.Array]) -> pa.RecordBatch:
+    t = Tokens(block)
+    number = np.append(trie.numbers(t.words), trie.begin)
+    both, wide = _pairs_of(t)
+    pairs, pair_of = np.unique(both, return_inverse=True)
+    del both
+    place, rank, _, _ = trie.bigrams(number[pairs >> wide], number[pairs & ((1 << wide) - 1)], coded=False)
+    at = t.inner()
+    # A trigram is its first bigram and its second.
+    wide = max(21, len(pairs).bit_length())
+    triples, n = np.unique((pair_of[at - 1] << wide) | pair_of[at], return_counts=True)
+    place, rank = place[triples >> wide], rank[triples & ((1 << wide) - 1)]
+    return _blocks_of(trie.deep_shard(place, rank), lambda s, at: (place[at], rank[at], n[at]))
+
+
+def _stats(s: int, counts: np.ndarray, split_at: np.ndarray, split_counts: np.ndarray) -> pa.Table:
+    seen = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+    values = [[s], [len(counts)], [int(counts.sum())], [seen.tolist()], [split_at.tolist()], [split_counts.tolist()]]
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+    return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=["s", "n", "total", "seen", "at", "c"])
+
+
+_STATS = "s long, n long, total long, seen array<long>, at array<long>, c array<long>"
+
+
+def _save_counts(model: Model, what: str, s: int, counts: np.ndarray) -> None:
+    ef.save(model.path(what, s), {"block": np.frombuffer(_pack([np.zeros(0, np.int64), counts]), np.uint8)}, {})
+
+
+def _load_counts(model: Model, what: str, s: int) -> np.ndarray:
+    return _unpack(ef.load(model.path(what, s))[0]["block"].tobytes())[1]
+
+
+def _save_words(model: Model, s: int, hashes: np.ndarray, words: pa.Array, counts: np.ndarray) -> None:
+    data, edges = _buffers(words)
+    width, low = int(counts.max(initial=0)).bit_length(), (1 << (_HASH_BITS - model.bits)) - 1
+    arrays, meta = {"counts": ef.packed(counts, width), "bytes": data}, {"n": len(counts), "width": width}
+    ef.nested("hashes", ef.EliasFano.build(hashes & low, low + 1), arrays, meta)
+    ef.nested("edges", ef.EliasFano.build(edges, len(data) + 1), arrays, meta)
+    ef.save(model.path("words", s), arrays, meta)
+
+
+def _save_pairs(trie: Trie, s: int, keys: np.ndarray, counts: np.ndarray) -> None:
+    slots, words = trie.slots(s), trie.m.words
+    arrays, meta = {}, {}
+    ef.nested("keys", ef.EliasFano.build(keys, slots * words), arrays, meta)
+    ef.nested("pointers", ef.EliasFano.build(np.searchsorted(keys, np.arange(slots + 1) * words), len(keys) + 1), arrays, meta)
+    _save_counts(trie.m, "pair-counts", s, counts)
+    ef.save(trie.m.path("pairs", s), arrays, meta)
+
+
+def _save_triples(trie: Trie, s: int, place: np.ndarray, rank: np.ndarray, n: np.ndarray) -> np.ndarray:
+    split = trie.m.split_pairs
+    if s >= trie.m.deep:  # a split bigram is in each of its shards, for its weight
+        parents, parent = split.at[[split.owner(s)]], np.zeros(len(place), np.int64)
+    else:
+        parents, parent = np.unique(place, return_inverse=True)
+    pointers = np.concatenate(([0], np.cumsum(trie.successors(trie.second(parents))[1])))
+    keys, n = _counted(pointers[parent] + rank, n)
+    arrays, meta = {}, {}
+    ef.nested("parents", ef.EliasFano.build(parents, int(trie.m.places[-1]) + 1), arrays, meta)
+    ef.nested("pointers", ef.EliasFano.build(pointers, int(pointers[-1]) + 1), arrays, meta)
+    ef.nested("keys", ef.EliasFano.build(keys, int(pointers[-1]) + 1), arrays, meta)
+    _save_counts(trie.m, "triple-counts", s, n)
+    ef.save(trie.m.path("triples", s), arrays, meta)
+    return n
+
+
+# --- smoothing -------------------------------------------------------------
+
+
+def _save_codes(model: Model, what: str, s: int, level: int, counts, lower, group, groups: int, split: int = -1) -> None:
+    """Interpolated log10 probabilities and log10 back-off weights of the groups."""
+    cut = model.cuts[level][np.minimum(counts, 3) - 1]
+    if split >= 0:
+        own = model.split_words if level == 2 else model.split_pairs
+        total, back = own.total[[split]], own.back[[split]]
+    else:
+        total, lost = np.bincount(group, counts, groups), np.bincount(group, cut, groups)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            back = np.where(total > 0, lost / total, 1.0)
+    prob = np.log10((counts - cut) / total[group] + back[group] * lower)
+    ef.save(model.path(what, s), {"prob": _coded(prob, PROB), "back": _coded(np.log10(back), BACK)}, {})
+
+
+def _smooth_pairs(trie: Trie, s: int) -> None:
+    keys, words = trie.file("pairs", s)[2]["keys"].all(), trie.m.words
+    split = trie.m.split_words.owner(s) if s >= 1 << trie.m.bits else -1
+    lower = 10 ** trie.unigram(keys % words)
+    _save_codes(trie.m, "pair-codes", s, 2, _load_counts(trie.m, "pair-counts", s), lower, keys // words, trie.slots(s), split)
+
+
+def _smooth_triples(trie: Trie, s: int) -> None:
+    parents, pointers, keys = (trie.file("triples", s)[2][k].all() for k in ("parents", "pointers", "keys"))
+    split = trie.m.split_pairs.owner(s) if s >= trie.m.deep else -1
+    parent = np.searchsorted(pointers, keys, side="right") - 1
+    begin = trie.successors(trie.second(parents))[0]
+    lower = 10 ** trie.place_probs((begin - pointers[:-1])[parent] + keys)
+    _save_codes(trie.m, "triple-codes", s, 3, _load_counts(trie.m, "triple-counts", s), lower, parent, len(parents), split)
+
+
 def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Model:
     """Count and build over the column ``text`` (not null) of all rows."""
     spark = texts.sparkSession
     prepare(spark)
     texts = texts.select("text")
     model = Model(_shared_path(spark, folder))
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, 0):
-            t = Tokens(block)
-            n = np.bincount(t.ids, minlength=len(t.hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(t.hashes), pa.array(n.astype(np.int64))], ["h", "c"])
-
-    # The end token of no text at all still makes no vocabulary.
-    vocabulary = checkpoint(texts.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    vocabulary = checkpoint(texts.mapInArrow(_count_words, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")))
     sums = vocabulary.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     model.words, model.tokens = int(sums["v"]), int(sums["n"] or 0)
     if not model.words:
         return model
-    model.bits = max(0, (max(2 * model.words, model.tokens) // shard).bit_length())
+    begins = int(vocabulary.filter(F.col("w") == END).first()["c"])  # as many texts begin as end
+    model.bits = (max(2 * model.words, model.tokens) // shard).bit_length()
     model.deep = max(1, -(-model.tokens // shard))
-
-    def level1(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h")
-        s, low = int(pdf["s"].iloc[0]), (1 << (_HASH_BITS - model.bits)) - 1
-        counts = pdf["c"].to_numpy(np.int64)
-        width = int(counts.max()).bit_length()
-        arrays, meta = {"counts": ef.packed(counts, width)}, {"n": len(pdf), "width": width}
-        ef.nested("hashes", ef.EliasFano.build(pdf["h"].to_numpy(np.int64) & low, low + 1), arrays, meta)
-        ef.save(model.path(1, s), arrays, meta)
-        return pd.DataFrame({"s": [s], "n": [len(pdf)]})
-
     shards = 1 << model.bits
-    top = F.shiftright("h", _HASH_BITS - model.bits) if model.bits else F.lit(0).cast("long")
-    sizes = vocabulary.withColumn("s", top).groupBy("s").applyInPandas(level1, "s long, n long").toPandas()
-    per = np.zeros(shards, np.int64)
-    per[sizes["s"]] = sizes["n"]
-    for s in np.nonzero(per == 0)[0]:  # a shard without words
-        arrays, meta = {"counts": ef.packed(np.zeros(0, np.int64), 1)}, {"n": 0, "width": 1}
-        ef.nested("hashes", ef.EliasFano.build(np.zeros(0, np.int64), 1), arrays, meta)
-        ef.save(model.path(1, int(s)), arrays, meta)
-    model.first = (np.cumsum(per) - per).tolist()
-
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(model)
-        for _, block in _blocks(batches, 0):
-            t = Tokens(block)
-            number = np.append(trie.words(t.hashes), trie.begin)
-            wide = max(21, len(number).bit_length())
-            begin = len(t.hashes)
-            before = np.concatenate(([begin], t.ids[:-1])) if len(t.ids) else t.ids
-            before[t.starts] = begin
-            pairs, pair_of, n2 = np.unique((before << wide) | t.ids, return_inverse=True, return_counts=True)
-            inner = np.ones(len(t.ids), bool)
-            inner[t.starts] = False
-            at = np.nonzero(inner)[0]
-            # A trigram is its first bigram (by place in ``pairs``) and the third word.
-            triples, n3 = np.unique((pair_of[at - 1] << wide) | t.ids[at], return_counts=True)
-            mask = (1 << wide) - 1
-            a2, b2 = number[pairs >> wide], number[pairs & mask]
-            lead = triples >> wide
-            blocks = [(2, trie.shard_of(a2), (a2, b2, n2)), (3, trie.deep_shard(a2[lead], b2[lead]), (a2[lead], b2[lead], number[triples & mask], n3))]
-            for level, shards_of, columns in blocks:
-                rows = []
-                for s, at in Trie.by_shard(shards_of):
-                    at = at[np.argsort(columns[0][at], kind="stable")]
-                    rows.append((s, _pack_block([c[at] for c in columns])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([level] * len(rows), pa.int32()), pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())],
-                        ["level", "s", "block"],
-                    )
-
-    def smooth(counts, lower, group, groups):
-        """Interpolated log10 probabilities and log10 back-off weights of the groups."""
-        cut = discounts(np.bincount(np.minimum(counts, 5), minlength=6)[1:5])[np.minimum(counts, 3) - 1]
-        total, lost = np.bincount(group, counts, groups), np.bincount(group, cut, groups)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(total > 0, lost / total, 1.0)
-        return np.log10((counts - cut) / total[group] + back[group] * lower), np.log10(back)
 
-    def level2(s: int, keys: np.ndarray, counts: np.ndarray) -> None:
-        trie = Trie(model)
-        slots = trie.file(1, s)[1]["n"] + (s == 0)
-        arrays, meta = {}, {}
-        ef.nested("keys", ef.EliasFano.build(keys, slots * model.words), arrays, meta)
-        ef.nested("pointers", ef.EliasFano.build(np.searchsorted(keys, np.arange(slots + 1) * model.words), len(keys) + 1), arrays, meta)
-        prob, back = smooth(counts, 10 ** trie.unigram(keys % model.words), keys // model.words, slots)
-        _quantised(prob, arrays, meta, "prob", np.uint16)
-        _quantised(back, arrays, meta, "back", np.uint8)
-        ef.save(model.path(2, s), arrays, meta)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Level 2 of a shard, or a shard's trigrams in one sorted block: level 3 needs
-        the ranks of all of level 2."""
-        level, s = int(pdf["level"].iloc[0]), int(pdf["s"].iloc[0])
-        columns = [np.concatenate(x) for x in zip(*map(_unpack_block, pdf["block"]))]
-        if level == 2:
-            a, b, c = columns
-            keys, counts = _counted(Trie(model).local(a, s) * model.words + b, c)
-            level2(s, keys, counts)
-            return pd.DataFrame({"level": [2], "s": [s], "n": [len(keys)]})
-        a, b, c, n = columns
-        del columns
-        pairs, lead = np.unique(a * model.words + b, return_inverse=True)
-        keys, n = _counted(lead * model.words + c, n)
-        lead = pairs[keys // model.words]
-        block = _pack_block([lead // model.words, lead % model.words, keys % model.words, n])
-        ef.save(model.path(30, s), {"block": np.frombuffer(block, np.uint8)}, {})
-        return pd.DataFrame({"level": [3], "s": [s], "n": [len(n)]})
-
-    blocks = texts.mapInArrow(count_grams, "level int, s long, block binary")
-    got = blocks.groupBy("level", "s").applyInPandas(merge, "level int, s long, n long").toPandas()
-    two, three = got[got["level"] == 2], set(got["s"][got["level"] == 3].tolist())
-    for s in set(range(shards)) - set(two["s"].tolist()):
-        level2(s, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    per2 = np.zeros(shards, np.int64)
-    per2[two["s"]] = two["n"]
-    model.pairs = (np.cumsum(per2) - per2).tolist()
-
-    def level3(s: int) -> None:
-        temp, final = model.path(30, s), model.path(3, s)
-        if s not in three:
-            columns = [np.zeros(0, np.int64)] * 4
-        elif os.path.exists(temp):
-            columns = _unpack_block(ef.load(temp)[0]["block"].tobytes())
-        else:  # a task before this one got as far as removing it
-            return
-        trie = Trie(model)
-        a, b, c, n = columns
-        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        at = np.nonzero(first)[0]
-        parents, successors = trie.bigrams(a[at], b[at])[0], trie.successors(b[at])
-        ends, end_of = np.unique(b * model.words + c, return_inverse=True)
-        _, rank, lower, _ = trie.bigrams(ends // model.words, ends % model.words)
-        rank, lower = rank[end_of], lower[end_of]
-        # Pairs are in order of their positions but for those of texts' beginnings.
-        turn = np.argsort(parents, kind="stable")
-        sizes = np.diff(np.append(at, len(a)))
-        place = np.empty(len(at), np.int64)
-        place[turn] = np.arange(len(at))
-        group = np.repeat(place, sizes)
-        order = np.argsort(group, kind="stable")
-        group, rank, lower, n = group[order], rank[order], lower[order], n[order]
-        parents, pointers = parents[turn], np.concatenate(([0], np.cumsum(successors[turn])))
-        arrays, meta = {}, {}
-        ef.nested("parents", ef.EliasFano.build(parents, int(per2.sum()) + 1), arrays, meta)
-        ef.nested("pointers", ef.EliasFano.build(pointers, int(pointers[-1]) + 1), arrays, meta)
-        ef.nested("keys", ef.EliasFano.build(pointers[group] + rank, int(pointers[-1]) + 1), arrays, meta)
-        prob, back = smooth(n, 10**lower, group, len(parents))
-        _quantised(prob, arrays, meta, "prob", np.uint16)
-        _quantised(back, arrays, meta, "back", np.uint8)
-        ef.save(final, arrays, meta)
-        if s in three:
-            os.remove(temp)
-
-    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for s in part["id"].tolist():
-                level3(s)
-            yield part
-
-    spark.range(0, model.deep, 1, min(model.deep, 10_000)).mapInPandas(build, "id long").count()
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, edges = _buffers(batch.column(0))
+            h = word_hashes(data, edges[:-1], edges[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(h >> (_HASH_BITS - model.bits)), pa.array(h), *batch.columns], ["s", "h", "w", "c"])
+
+    def save_words(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("h", "ascending"), ("w", "ascending")]))
+        counts = table["c"].to_numpy()
+        _save_words(model, key[0].as_py(), table["h"].to_numpy(), table["w"].combine_chunks(), counts)
+        split = np.nonzero(counts > shard)[0]
+        return _stats(key[0].as_py(), counts, split, counts[split])
+
+    def gathered(df: DataFrame, save) -> dict[int, dict]:
+        """Counts per shard from the tasks that write it."""
+        return {x["s"]: x for x in df.groupBy("s").applyInArrow(save, _STATS).toArrow().to_pylist()}
+
+    def split_of(stats: dict[int, dict], before: np.ndarray, base: int, more: tuple = ()) -> Split:
+        found = sorted([(int(before[s]) + i, c) for s, x in stats.items() for i, c in zip(x["at"], x["c"])] + list(more))
+        return Split([i for i, _ in found], [c for _, c in found], shard, base)
+
+    def first_of(stats: dict[int, dict], n: int) -> np.ndarray:
+        per = np.zeros(n, np.int64)
+        for s, x in stats.items():
+            per[s] = x["n"]
+        return np.concatenate(([0], np.cumsum(per)))
+
+    def built(n: int, f) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in batch.column(0).to_pylist():
+                    f(Trie(model), s)
+                yield batch
+
+        spark.range(0, n, 1, min(n, 10_000)).mapInArrow(run, "id long").count()
+
+    def counted(count):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = Trie(model)
+            for _, block in _blocks(batches, 0):
+                yield count(trie, block)
+
+        return texts.mapInArrow(run, "s long, block binary")
+
+    def columns_of(table: pa.Table) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in table["block"]))]
+
+    none = np.zeros(0, np.int64)
+    stats = gathered(vocabulary.mapInArrow(hashed, "s long, h long, w string, c long"), save_words)
+    for s in set(range(shards)) - set(stats):
+        _save_words(model, s, none, pa.array([], pa.string()), none)
+    model.first = first_of(stats, shards)[:-1]
+    model.split_words = split_of(stats, model.first, shards, [(model.words, begins)] if begins > shard else [])
+
+    def save_pairs(key: tuple, table: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        keys, counts = _counted(*columns_of(table))
+        _save_pairs(Trie(model), s, keys, counts)
+        split = np.nonzero(counts > shard)[0]
+        return _stats(s, counts, split, counts[split])
+
+    stats = gathered(counted(_count_pairs), save_pairs)
+    for s in set(range(model.split_words.end or shards)) - set(stats):
+        _save_pairs(Trie(model), s, none, none)
+    model.places = first_of(stats, model.split_words.end)
+    model.split_pairs = split_of(stats, model.places, model.deep)
+    model.cuts[2] = discounts(sum(np.array(x["seen"]) for x in stats.values()))
+    model.split_words.weigh(stats, model.cuts[2])
+    built(model.split_words.end, _smooth_pairs)
+
+    def save_triples(key: tuple, table: pa.Table) -> pa.Table:
+        s = key[0].as_py()
+        return _stats(s, _save_triples(Trie(model), s, *columns_of(table)), none, none)
+
+    stats = gathered(counted(_count_triples), save_triples)
+    for s in set(range(model.split_pairs.end)) - set(stats):
+        _save_triples(Trie(model), s, none, none, none)
+    model.cuts[3] = discounts(sum((np.array(x["seen"]) for x in stats.values()), np.zeros(4, np.int64)))
+    model.split_pairs.weigh(stats, model.cuts[3])
+    built(model.split_pairs.end, _smooth_triples)
     return model
 
 
@@ -512,25 +697,21 @@ def score_texts(trie: Trie, texts: list[pa.Array]) -> dict[str, np.ndarray]:
     if not m.words:  # nothing was learnt: c = N = V = 0
         base = np.zeros(len(t.lengths))
         return {"n_tokens": t.lengths, "n_known": np.zeros(len(t.lengths), np.int64), "base_score": base, "score": base.copy()}
-    number = np.append(trie.words(t.hashes), trie.begin)
+    number = np.append(trie.numbers(t.words), trie.begin)
     counts, one = trie.counts(number[:-1]), trie.unigram(number[:-1])
-    begin, wide = len(t.hashes), max(21, len(number).bit_length())
-    mask = (1 << wide) - 1
-    before = np.concatenate(([begin], t.ids[:-1]))
-    before[t.starts] = begin
-    pairs, pair_of = np.unique((before << wide) | t.ids, return_inverse=True)
-    a, b = number[pairs >> wide], number[pairs & mask]
-    place, rank, prob, back = trie.bigrams(a, b)
-    two = np.where(np.isnan(prob), back + one[pairs & mask], prob)
-    inner = np.ones(len(t.ids), bool)
-    inner[t.starts] = False
-    at = np.nonzero(inner)[0]
+    both, wide = _pairs_of(t)
+    pairs, pair_of = np.unique(both, return_inverse=True)
+    del both
+    last = pairs & ((1 << wide) - 1)
+    place, rank, prob, back = trie.bigrams(number[pairs >> wide], number[last])
+    two = np.where(np.isnan(prob), back + one[last], prob)
+    at = t.inner()
     value = two[pair_of]
-    # Distinct trigrams: the place of their first bigram, and the third word.
-    triples, again = np.unique((pair_of[at - 1] << wide) | t.ids[at], return_inverse=True)
-    lead, last = triples >> wide, np.empty(len(triples), np.int64)
-    last[again] = pair_of[at]
-    value[at] = trie.trigrams(a, b, place, lead, rank[last], two[last])[again]
+    # Distinct trigrams: their first bigram and their second.
+    wide = max(21, len(pairs).bit_length())
+    triples, again = np.unique((pair_of[at - 1] << wide) | pair_of[at], return_inverse=True)
+    lead, last = triples >> wide, triples & ((1 << wide) - 1)
+    value[at] = trie.trigrams(place[lead], rank[last], two[last])[again]
     doc = np.repeat(np.arange(len(t.lengths)), t.lengths)
     n = len(t.lengths)
     return {
