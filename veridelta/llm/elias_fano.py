@@ -41,9 +41,8 @@ def unpacked(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(len(at), _U)
     bit = at.astype(_U) * _U(width)
     word, shift = (bit >> _U(6)).astype(np.int64), bit & _U(63)
-    low = words[word] >> shift
-    high = np.where(shift > 0, words[word + 1] << ((_U(64) - shift) & _U(63)), _U(0))
-    return (low | high) & _U((1 << width) - 1)
+    high = (words[word + 1] << _U(1)) << (_U(63) - shift)
+    return (words[word] >> shift | high) & _U((1 << width) - 1)
 
 
 _ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
@@ -63,12 +62,13 @@ def _select_in(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 #: Queries answered at a time.
 PART = 1 << 14
-#: Arrays of a sequence; the hints name the word of every HINT-th one and zero.
+#: Arrays of a sequence; the hints name the word of every HINT1-th one and HINT0-th zero.
 ARRAYS = ("low", "upper", "ones", "hint1", "hint0")
 #: Low bits fewer than the densest form has: shorter runs to search.
 FINER = 1
-HINT_BITS = 6
-HINT = 1 << HINT_BITS
+#: Places of a run looked at one by one before it is searched.
+NEXT = 2
+HINT1_BITS, HINT0_BITS = 4, 5
 
 
 class EliasFano:
@@ -90,17 +90,17 @@ class EliasFano:
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
         zeros = np.arange(len(ones)) * 64 - ones
         low = packed(values & _U((1 << bits) - 1), bits)
-        hints = [(np.searchsorted(a, np.arange(0, a[-1], HINT), side="right") - 1).astype(np.int32) for a in (ones, zeros)]
+        steps = ((ones, 1 << HINT1_BITS), (zeros, 1 << HINT0_BITS))
+        hints = [(np.searchsorted(a, np.arange(0, a[-1], step), side="right") - 1).astype(np.int32) for a, step in steps]
         ones = ones.astype(np.uint32 if n < 1 << 32 else np.int64)
         return dict(zip(ARRAYS, (low, words, ones, *hints))), {"n": n, "low_bits": bits}
 
-    def _word(self, i: np.ndarray, hint: np.ndarray, before) -> np.ndarray:
+    def _word(self, i: np.ndarray, hint: np.ndarray, bits: int, before) -> np.ndarray:
         """The word that holds bit ``i`` of its kind: a few steps from its hint, or,
         where the other kind fills many words between, halving."""
-        word = hint[i >> HINT_BITS].astype(np.int64)
-        word += before(word + 1) <= i
+        word = hint[i >> bits].astype(np.int64)
         go = np.nonzero(before(word + 1) <= i)[0]
-        for _ in range(3):
+        for _ in range(4):
             if not len(go):
                 return word
             word[go] += 1
@@ -120,11 +120,11 @@ class EliasFano:
         return word * 64 - self.ones[word]
 
     def _select1(self, i: np.ndarray) -> np.ndarray:
-        word = self._word(i, self.hint1, self._ones_before)
+        word = self._word(i, self.hint1, HINT1_BITS, self._ones_before)
         return word * 64 + _select_in(self.upper[word], i - self._ones_before(word))
 
     def _select0(self, i: np.ndarray) -> np.ndarray:
-        word = self._word(i, self.hint0, self._zeros_before)
+        word = self._word(i, self.hint0, HINT0_BITS, self._zeros_before)
         return word * 64 + _select_in(~self.upper[word], i - self._zeros_before(word))
 
     @staticmethod
@@ -172,9 +172,16 @@ class EliasFano:
         end[far] = self._select0(high[far])
         end -= high
         start = before + 1 - high
-        left, aim, turn = start.copy(), want.astype(np.int64), 0
+        left, aim, turn = start, want.astype(np.int64), 0
         live = np.nonzero(start < end)[0]
-        lo, hi, aim = start[live], end[live], aim[live]
+        for _ in range(NEXT):  # runs are mostly this short
+            got = unpacked(self.low, left[live], self.low_bits).astype(np.int64)
+            live = live[got < aim[live]]
+            left[live] += 1
+            live = live[left[live] < end[live]]
+            if not len(live):
+                break
+        lo, hi, aim = left[live], end[live], aim[live]
         # Low bits left of ``lo`` are at least ``floor``, those from ``hi`` on at least ``ceiling``.
         floor, ceiling = np.zeros(len(live), np.int64), np.full(len(live), 1 << self.low_bits, np.int64)
         while len(live):

@@ -10,10 +10,11 @@ does not depend on how the levels are dealt to shards.
 
 Counting: one pass over the texts for each level. Tasks count about a million
 tokens at a time and send each shard one compressed block of them; the third pass
-already sends places and ranks in level 2, which are small numbers. A context
-that occurs more often than a shard has tokens is dealt to several shards, by
-ranges of the next word (level 2) or by its rank (level 3), so no task gathers an
-unbounded context.
+already sends places and ranks in level 2, which are small numbers. Shards of
+level 3 are ranges of bigrams of about equal counts, so a bigram's pointer is
+found by its place. A context that occurs more often than a shard has tokens is
+dealt to several shards, by ranges of the next word (level 2) or by its rank
+(level 3), so no task gathers an unbounded context.
 
 The levels are files in the session's shared folder, written by the tasks and
 memory-mapped by those that score. Nothing of the model passes the driver but
@@ -189,37 +190,49 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Split:
-    """Contexts that are dealt to several shards: ``at`` (rising), how many ``parts``
-    each, the first shard of each, and the sums over its parts."""
+    """Contexts dealt to shards: those from ``at[i]`` (rising) on to ``parts[i]`` shards
+    from ``first[i]`` on. Total and back-off weight are of contexts in several parts."""
 
-    def __init__(self, at=(), counts=(), shard: int = 1, base: int = 0):
-        self.at = np.asarray(at, np.int64)
-        self.parts = -(-np.asarray(counts, np.int64) // shard)
+    def __init__(self, at=(), parts=(), base: int = 0):
+        self.at, self.parts = np.asarray(at, np.int64), np.asarray(parts, np.int64)
         self.first = base + np.cumsum(self.parts) - self.parts
         self.end = base + int(self.parts.sum())
-        self.back = np.zeros(len(self.at))
-        self.total = np.ones(len(self.at))
+        self.back, self.total = np.zeros(len(self.at)), np.ones(len(self.at))
 
     def find(self, contexts: np.ndarray) -> np.ndarray:
-        """Number of each context among the split ones, or -1."""
+        """Number of each context in ``at``, or -1."""
         if not len(self.at):
             return np.full(len(contexts), -1)
         i = np.minimum(np.searchsorted(self.at, contexts), len(self.at) - 1)
         return np.where(self.at[i] == contexts, i, -1)
 
+    def range_of(self, contexts: np.ndarray) -> np.ndarray:
+        """Number of the range that each context lies in."""
+        return np.searchsorted(self.at, contexts, side="right") - 1
+
     def owner(self, shard: int) -> int:
         return int(np.searchsorted(self.first, shard, side="right")) - 1
 
     def weigh(self, stats: dict[int, dict], cut: np.ndarray) -> None:
-        """Total and back-off weight of each from the counts of its shards."""
-        for i, (first, parts) in enumerate(zip(self.first.tolist(), self.parts.tolist())):
-            own = [stats[s] for s in range(first, first + parts) if s in stats]
+        for i in np.nonzero(self.parts > 1)[0].tolist():
+            own = [stats[s] for s in range(self.first[i], self.first[i] + self.parts[i]) if s in stats]
             total = sum(x["total"] for x in own)
             once, twice = (sum(x["seen"][k] for x in own) for k in (0, 1))
             lost = np.dot(cut, (once, twice, sum(x["n"] for x in own) - once - twice))
             self.total[i], self.back[i] = total or 1, lost / total if total else 1.0
 
 
+def _ranges(counts: np.ndarray, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of about ``shard`` tokens begin, and the parts each is dealt to: one,
+    but for a bigram that has more by itself."""
+    parts = -(-counts // shard)
+    hot = parts > 1
+    chunk = np.cumsum(np.where(hot, 0, counts)) // shard
+    first = np.ones(len(counts), bool)
+    first[1:] = (chunk[1:] != chunk[:-1]) | hot[1:] | hot[:-1]
+    return np.nonzero(first)[0], parts[first]
+
+
 @dataclass
 class Model:
     """Where the trie is and how it is dealt to shards."""
@@ -228,11 +241,10 @@ class Model:
     tokens: int = 0
     words: int = 0
     bits: int = 0  # shards of level 1: 2^bits, by the top bits of a word's hash; level 2 has those of split words besides
-    deep: int = 1  # shards of level 3, by a hash of the bigram's place, and those of split bigrams
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of the first word of each shard
     places: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))  # place of the first bigram of each shard, and their number
     split_words: Split = field(default_factory=Split)
-    split_pairs: Split = field(default_factory=Split)
+    ranges: Split = field(default_factory=Split)  # of places: the shards of level 3
     cuts: dict[int, np.ndarray] = field(default_factory=dict)  # discounts of levels 2 and 3
 
     def path(self, what: str, shard: int) -> str:
@@ -370,13 +382,6 @@ class Trie:
     def _place_shard(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.m.places[:-1], places, side="right") - 1
 
-    def second(self, places: np.ndarray) -> np.ndarray:
-        """The second word of the bigrams at ``places``."""
-        out = np.empty(len(places), np.int64)
-        for s, at in self.by_shard(self._place_shard(places)):
-            out[at] = self.file("pairs", s)[2]["keys"].at(places[at] - self.m.places[s]) % self.m.words
-        return out
-
     def place_probs(self, places: np.ndarray) -> np.ndarray:
         out = np.empty(len(places))
         for s, at in self.by_shard(self._place_shard(places)):
@@ -384,15 +389,22 @@ class Trie:
         return out
 
     def deep_shard(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Level 3 shard of trigrams, by their first bigram's place; those of a split
-        bigram are dealt by rank."""
-        mixed = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out = ((mixed >> np.uint64(33)) % np.uint64(self.m.deep)).astype(np.int64)
-        split = self.m.split_pairs
-        i = split.find(place)
-        at = np.nonzero(i >= 0)[0]
-        out[at] = split.first[i[at]] + np.maximum(rank[at], 0) % split.parts[i[at]]
-        return out
+        """Level 3 shard of trigrams, by their first bigram's place; those of a bigram
+        in several parts are dealt by rank."""
+        r = self.m.ranges.range_of(place)
+        return self.m.ranges.first[r] + np.maximum(rank, 0) % self.m.ranges.parts[r]
+
+    def first_place(self, shard: int) -> int:
+        return int(self.m.ranges.at[self.m.ranges.owner(shard)])
+
+    def seconds(self, shard: int) -> np.ndarray:
+        """The second words of the bigrams of a level 3 shard, in order."""
+        r = self.m.ranges.owner(shard)
+        low = int(self.m.ranges.at[r])
+        s = int(self._place_shard(np.array([low]))[0])
+        base = int(self.m.places[s])
+        high = int(self.m.ranges.at[r + 1]) if r + 1 < len(self.m.ranges.at) else int(self.m.places[-1])
+        return self.file("pairs", s)[2]["keys"].all()[low - base : high - base] % self.m.words
 
     def trigrams(self, place: np.ndarray, rank: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """log10 probabilities of trigrams, in any order with equal places together:
@@ -403,15 +415,15 @@ class Trie:
         for s, at in self.by_shard(self.deep_shard(place[known], rank[known])):
             at = known[at]
             seq, codes = self.file("triples", s)[2], self.file("triple-codes", s)[0]
-            first = np.concatenate(([0], np.nonzero(place[at][1:] != place[at][:-1])[0] + 1))
-            sizes = np.diff(np.append(first, len(at)))
-            parent = seq["parents"].find(place[at[first]])
-            hit = parent >= 0
-            at, sizes, parent = at[np.repeat(hit, sizes)], sizes[hit], parent[hit]
-            out[at] += np.repeat(_decoded(codes["back"][parent], BACK), sizes)
-            keys = np.repeat(seq["pointers"].at(parent), sizes) + rank[at]
-            at, keys = at[rank[at] >= 0], keys[rank[at] >= 0]
-            got = seq["keys"].find(keys)
+            local = place[at] - self.first_place(s)
+            out[at] += _decoded(codes["back"][local], BACK)
+            seen = rank[at] >= 0
+            at, local = at[seen], local[seen]
+            if not len(at):
+                continue
+            first = np.concatenate(([True], local[1:] != local[:-1]))
+            begin = seq["pointers"].at(local[first])[np.cumsum(first) - 1]
+            got = seq["keys"].find(begin + rank[at])
             out[at[got >= 0]] = _decoded(codes["prob"][got[got >= 0]], PROB)
         return out
 
@@ -502,17 +514,17 @@ def _count_triples(trie: Trie, block: list[pa.Array]) -> pa.RecordBatch:
     wide = max(21, len(pairs).bit_length())
     triples, n = np.unique((pair_of[at - 1] << wide) | pair_of[at], return_counts=True)
     place, rank = place[triples >> wide], rank[triples & ((1 << wide) - 1)]
-    return _blocks_of(trie.deep_shard(place, rank), lambda s, at: (place[at], rank[at], n[at]))
+    return _blocks_of(trie.deep_shard(place, rank), lambda s, at: (place[at] - trie.first_place(s), rank[at], n[at]))
 
 
-def _stats(s: int, counts: np.ndarray, split_at: np.ndarray, split_counts: np.ndarray) -> pa.Table:
+def _stats(s: int, counts: np.ndarray, at: np.ndarray, parts: np.ndarray) -> pa.Table:
     seen = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-    values = [[s], [len(counts)], [int(counts.sum())], [seen.tolist()], [split_at.tolist()], [split_counts.tolist()]]
+    values = [[s], [len(counts)], [int(counts.sum())], [seen.tolist()], [at.tolist()], [parts.tolist()]]
     kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-    return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=["s", "n", "total", "seen", "at", "c"])
+    return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=["s", "n", "total", "seen", "at", "parts"])
 
 
-_STATS = "s long, n long, total long, seen array<long>, at array<long>, c array<long>"
+_STATS = "s long, n long, total long, seen array<long>, at array<long>, parts array<long>"
 
 
 def _save_counts(model: Model, what: str, s: int, counts: np.ndarray) -> None:
@@ -541,16 +553,16 @@ def _save_pairs(trie: Trie, s: int, keys: np.ndarray, counts: np.ndarray) -> Non
     ef.save(trie.m.path("pairs", s), arrays, meta)
 
 
-def _save_triples(trie: Trie, s: int, place: np.ndarray, rank: np.ndarray, n: np.ndarray) -> np.ndarray:
-    split = trie.m.split_pairs
-    if s >= trie.m.deep:  # a split bigram is in each of its shards, for its weight
-        parents, parent = split.at[[split.owner(s)]], np.zeros(len(place), np.int64)
-    else:
-        parents, parent = np.unique(place, return_inverse=True)
-    pointers = np.concatenate(([0], np.cumsum(trie.successors(trie.second(parents))[1])))
-    keys, n = _counted(pointers[parent] + rank, n)
+def _successors_of(trie: Trie, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    each, which = np.unique(words, return_inverse=True)
+    begin, n = trie.successors(each)
+    return begin[which], n[which]
+
+
+def _save_triples(trie: Trie, s: int, local: np.ndarray, rank: np.ndarray, n: np.ndarray) -> np.ndarray:
+    pointers = np.concatenate(([0], np.cumsum(_successors_of(trie, trie.seconds(s))[1])))
+    keys, n = _counted(pointers[local] + rank, n)
     arrays, meta = {}, {}
-    ef.nested("parents", ef.EliasFano.build(parents, int(trie.m.places[-1]) + 1), arrays, meta)
     ef.nested("pointers", ef.EliasFano.build(pointers, int(pointers[-1]) + 1), arrays, meta)
     ef.nested("keys", ef.EliasFano.build(keys, int(pointers[-1]) + 1), arrays, meta)
     _save_counts(trie.m, "triple-counts", s, n)
@@ -561,34 +573,36 @@ def _save_triples(trie: Trie, s: int, place: np.ndarray, rank: np.ndarray, n: np
 # --- smoothing -------------------------------------------------------------
 
 
-def _save_codes(model: Model, what: str, s: int, level: int, counts, lower, group, groups: int, split: int = -1) -> None:
-    """Interpolated log10 probabilities and log10 back-off weights of the groups."""
-    cut = model.cuts[level][np.minimum(counts, 3) - 1]
-    if split >= 0:
-        own = model.split_words if level == 2 else model.split_pairs
-        total, back = own.total[[split]], own.back[[split]]
+def _save_codes(model: Model, what: str, s: int, counts, lower, group, groups: int, cut: np.ndarray, whole: tuple | None) -> None:
+    """Interpolated log10 probabilities and log10 back-off weights of the groups;
+    ``whole`` has the total and weight of a context in several parts."""
+    lost = cut[np.minimum(counts, 3) - 1]
+    if whole:
+        total, back = (np.array([x]) for x in whole)
     else:
-        total, lost = np.bincount(group, counts, groups), np.bincount(group, cut, groups)
+        total = np.bincount(group, counts, groups)
         with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(total > 0, lost / total, 1.0)
-    prob = np.log10((counts - cut) / total[group] + back[group] * lower)
+            back = np.where(total > 0, np.bincount(group, lost, groups) / total, 1.0)
+    prob = np.log10((counts - lost) / total[group] + back[group] * lower)
     ef.save(model.path(what, s), {"prob": _coded(prob, PROB), "back": _coded(np.log10(back), BACK)}, {})
 
 
 def _smooth_pairs(trie: Trie, s: int) -> None:
-    keys, words = trie.file("pairs", s)[2]["keys"].all(), trie.m.words
-    split = trie.m.split_words.owner(s) if s >= 1 << trie.m.bits else -1
-    lower = 10 ** trie.unigram(keys % words)
-    _save_codes(trie.m, "pair-codes", s, 2, _load_counts(trie.m, "pair-counts", s), lower, keys // words, trie.slots(s), split)
+    m, keys, split = trie.m, trie.file("pairs", s)[2]["keys"].all(), trie.m.split_words
+    i = split.owner(s) if s >= 1 << m.bits else -1
+    whole = (split.total[i], split.back[i]) if i >= 0 else None
+    counts, lower = _load_counts(m, "pair-counts", s), 10 ** trie.unigram(keys % m.words)
+    _save_codes(m, "pair-codes", s, counts, lower, keys // m.words, trie.slots(s), m.cuts[2], whole)
 
 
 def _smooth_triples(trie: Trie, s: int) -> None:
-    parents, pointers, keys = (trie.file("triples", s)[2][k].all() for k in ("parents", "pointers", "keys"))
-    split = trie.m.split_pairs.owner(s) if s >= trie.m.deep else -1
+    m, i = trie.m, trie.m.ranges.owner(s)
+    pointers, keys = (trie.file("triples", s)[2][k].all() for k in ("pointers", "keys"))
+    whole = (m.ranges.total[i], m.ranges.back[i]) if m.ranges.parts[i] > 1 else None
     parent = np.searchsorted(pointers, keys, side="right") - 1
-    begin = trie.successors(trie.second(parents))[0]
+    begin = _successors_of(trie, trie.seconds(s))[0]
     lower = 10 ** trie.place_probs((begin - pointers[:-1])[parent] + keys)
-    _save_codes(trie.m, "triple-codes", s, 3, _load_counts(trie.m, "triple-counts", s), lower, parent, len(parents), split)
+    _save_codes(m, "triple-codes", s, _load_counts(m, "triple-counts", s), lower, parent, len(begin), m.cuts[3], whole)
 
 
 def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Model:
@@ -604,7 +618,6 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         return model
     begins = int(vocabulary.filter(F.col("w") == END).first()["c"])  # as many texts begin as end
     model.bits = (max(2 * model.words, model.tokens) // shard).bit_length()
-    model.deep = max(1, -(-model.tokens // shard))
     shards = 1 << model.bits
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -618,15 +631,15 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         counts = table["c"].to_numpy()
         _save_words(model, key[0].as_py(), table["h"].to_numpy(), table["w"].combine_chunks(), counts)
         split = np.nonzero(counts > shard)[0]
-        return _stats(key[0].as_py(), counts, split, counts[split])
+        return _stats(key[0].as_py(), counts, split, -(-counts[split] // shard))
 
     def gathered(df: DataFrame, save) -> dict[int, dict]:
         """Counts per shard from the tasks that write it."""
         return {x["s"]: x for x in df.groupBy("s").applyInArrow(save, _STATS).toArrow().to_pylist()}
 
     def split_of(stats: dict[int, dict], before: np.ndarray, base: int, more: tuple = ()) -> Split:
-        found = sorted([(int(before[s]) + i, c) for s, x in stats.items() for i, c in zip(x["at"], x["c"])] + list(more))
-        return Split([i for i, _ in found], [c for _, c in found], shard, base)
+        found = sorted([(int(before[s]) + i, n) for s, x in stats.items() for i, n in zip(x["at"], x["parts"])] + list(more))
+        return Split([i for i, _ in found], [n for _, n in found], base)
 
     def first_of(stats: dict[int, dict], n: int) -> np.ndarray:
         per = np.zeros(n, np.int64)
@@ -659,20 +672,19 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
     for s in set(range(shards)) - set(stats):
         _save_words(model, s, none, pa.array([], pa.string()), none)
     model.first = first_of(stats, shards)[:-1]
-    model.split_words = split_of(stats, model.first, shards, [(model.words, begins)] if begins > shard else [])
+    model.split_words = split_of(stats, model.first, shards, [(model.words, -(-begins // shard))] if begins > shard else [])
 
     def save_pairs(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
         keys, counts = _counted(*columns_of(table))
         _save_pairs(Trie(model), s, keys, counts)
-        split = np.nonzero(counts > shard)[0]
-        return _stats(s, counts, split, counts[split])
+        return _stats(s, counts, *_ranges(counts, shard))
 
     stats = gathered(counted(_count_pairs), save_pairs)
     for s in set(range(model.split_words.end or shards)) - set(stats):
         _save_pairs(Trie(model), s, none, none)
     model.places = first_of(stats, model.split_words.end)
-    model.split_pairs = split_of(stats, model.places, model.deep)
+    model.ranges = split_of(stats, model.places, 0)
     model.cuts[2] = discounts(sum(np.array(x["seen"]) for x in stats.values()))
     model.split_words.weigh(stats, model.cuts[2])
     built(model.split_words.end, _smooth_pairs)
@@ -682,11 +694,11 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         return _stats(s, _save_triples(Trie(model), s, *columns_of(table)), none, none)
 
     stats = gathered(counted(_count_triples), save_triples)
-    for s in set(range(model.split_pairs.end)) - set(stats):
+    for s in set(range(model.ranges.end)) - set(stats):
         _save_triples(Trie(model), s, none, none, none)
     model.cuts[3] = discounts(sum((np.array(x["seen"]) for x in stats.values()), np.zeros(4, np.int64)))
-    model.split_pairs.weigh(stats, model.cuts[3])
-    built(model.split_pairs.end, _smooth_triples)
+    model.ranges.weigh(stats, model.cuts[3])
+    built(model.ranges.end, _smooth_triples)
     return model
 
 
