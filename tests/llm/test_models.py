@@ -18,6 +18,7 @@ from veridelta.llm import crf, elias_fano as ef, gbt, html_text, ngram_lm, pii,
 from veridelta.llm.dom import parse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KEY = "a test key"
 
 # --- Elias-Fano -----------------------------------------------------------
 
@@ -185,7 +186,7 @@ def test_lm_probabilities_sum_to_one(spark):
     log = lambda ps: sum(map(math.log10, ps))
     for context in ("", words[3], f"{words[1]} {words[2]}"):
         head = plain_tokens(context)[:-1]
-        scored = ngram_lm.score_texts(trie, [pa.array([f"{context} {w}" for w in words] + [context])])["score"]
+        scored = ngram_lm.score_texts(trie, ngram_lm.Coded.of([pa.array([f"{context} {w}" for w in words] + [context])], trie))["score"]
         # What comes before the word in question, and the end after it, is taken off.
         before = log(plain.chain(head))
         ends = [log(list(plain.chain([*head, w, None]))[-1:]) for w in words]
@@ -371,7 +372,7 @@ KINDS = [
 
 def replaced(spark, texts):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_replaced string")
-    return [r["text"] for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    return [r["text"] for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
 
 
 def test_formats_and_links(spark):
@@ -410,9 +411,9 @@ def test_pseudonyms_of_edges(spark):
     long = "word " * 50_000 + "jane@example.com"
     rows = [(1, None), (2, ""), (None, "a@example.com"), (3, long), (3, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r["doc_id"] or 0, r["text"], r["n_replaced"]) for r in pii.pseudonymise(df).collect()), key=lambda r: r[0])
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_replaced"]) for r in pii.pseudonymise(df, KEY).collect()), key=lambda r: r[0])
     assert [(r[0], r[2]) for r in got] == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
     assert got[1][1] == "" and got[3] == got[4] and got[3][1].startswith("word word") and len(got[3][1]) == len(long)
-    assert pii.pseudonymise(df.limit(0)).count() == 0
-    plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
+    assert pii.pseudonymise(df.limit(0), KEY).count() == 0
+    plan = pii.pseudonymise(df, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan

@@ -8,9 +8,10 @@ interpolated with modified absolute discounting, with one set of discounts for
 all bigrams and one for all trigrams, and quantised on fixed scales, so a score
 does not depend on how the levels are dealt to shards.
 
-Counting: one pass over the texts for each level. Tasks count about a million
-tokens at a time and send each shard one compressed block of them; the third pass
-already sends places and ranks in level 2, which are small numbers. Shards of
+Counting: one pass for each level. The first reads the texts; a second turns them
+into word numbers, in compressed blocks of about a million tokens, that the others
+and the scoring read. Tasks count a block at a time and send each shard one packed
+part of it; the pass for level 3 already sends places and ranks in level 2, which are small numbers. Shards of
 level 3 are ranges of bigrams of about equal counts, so a bigram's pointer is
 found by its place. A context that occurs more often than a shard has tokens is
 dealt to several shards, by ranges of the next word (level 2) or by its rank
@@ -133,16 +134,43 @@ class Tokens:
         self.words = pa.concat_arrays([coded.dictionary.cast(pa.large_string()), pa.array([END], pa.large_string())])
         sizes = np.diff(edges)
         self.lengths = sizes + 1
-        self.starts = np.cumsum(self.lengths) - self.lengths
         self.ids = np.full(len(coded) + len(sizes), len(self.words) - 1, np.int64)
         self.ids[np.arange(len(coded)) + np.repeat(np.arange(len(sizes)), sizes)] = coded.indices.to_numpy()
 
-    def before(self) -> np.ndarray:
-        """The token before each; ``len(words)`` stands for a text's beginning."""
-        out = np.empty_like(self.ids)
-        out[1:] = self.ids[:-1]
-        out[self.starts] = len(self.words)
-        return out
+
+class Coded:
+    """A block of texts: the ``number`` of every distinct word in it (-1: unknown), the
+    ``ids`` of the tokens into these, and how many tokens each text has."""
+
+    def __init__(self, number: np.ndarray, ids: np.ndarray, lengths: np.ndarray):
+        self.number, self.ids, self.lengths = number, ids, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    @classmethod
+    def of(cls, texts: list[pa.Array], trie: Trie) -> Coded:
+        t = Tokens(texts)
+        return cls(trie.numbers(t.words), t.ids, t.lengths)
+
+    def packed(self) -> bytes:
+        return _pack([np.zeros(0, np.int64), self.number + 1, self.ids, self.lengths])
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Coded:
+        _, number, ids, lengths = _unpack(data)
+        return cls(number - 1, ids, lengths)
+
+    def some(self, texts: np.ndarray) -> Coded:
+        """The block with only the ``texts`` (a mask)."""
+        return self if texts.all() else Coded(self.number, self.ids[np.repeat(texts, self.lengths)], self.lengths[texts])
+
+    def pairs(self, begin: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The two words of every token's bigram as one number, the numbers of these
+        words with ``begin`` for a text's beginning, and the width of one in bits."""
+        wide = max(21, (len(self.number) + 1).bit_length())
+        before = np.empty_like(self.ids)
+        before[1:] = self.ids[:-1]
+        before[self.starts] = len(self.number)
+        return (before << wide) | self.ids, np.append(self.number, begin), wide
 
     def inner(self) -> np.ndarray:
         """Places of the tokens that are not the first of their text."""
@@ -278,6 +306,8 @@ class Trie:
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers of words, -1 for unknown ones: the hash finds, the bytes decide."""
+        if not self.m.words:
+            return np.full(len(words), -1, np.int64)
         data, edges = _buffers(words)
         hashes, sizes = word_hashes(data, edges[:-1], edges[1:]), np.diff(edges)
         out = np.full(len(words), -1, np.int64)
@@ -441,7 +471,7 @@ def _pack(columns: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+def _unpack(data: bytes | pa.Buffer) -> list[np.ndarray]:
     out, at = [], 0
     expand = zstandard.ZstdDecompressor().decompress
     while at < len(data):
@@ -486,26 +516,15 @@ def _blocks_of(shards: np.ndarray, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["s", "block"])
 
 
-def _pairs_of(t: Tokens) -> tuple[np.ndarray, np.ndarray, int]:
-    """The two words of every token's bigram as one number, and its width in bits."""
-    wide = max(21, (len(t.words) + 1).bit_length())
-    return (t.before() << wide) | t.ids, wide
-
-
-def _count_pairs(trie: Trie, block: list[pa.Array]) -> pa.RecordBatch:
-    t = Tokens(block)
-    number = np.append(trie.numbers(t.words), trie.begin)
-    both, wide = _pairs_of(t)
-    del t
+def _count_pairs(trie: Trie, t: Coded) -> pa.RecordBatch:
+    both, number, wide = t.pairs(trie.begin)
     pairs, n = np.unique(both, return_counts=True)
     a, b = number[pairs >> wide], number[pairs & ((1 << wide) - 1)]
     return _blocks_of(trie.pair_shard(a, b), lambda s, at: (trie.local(a[at], s) * trie.m.words + b[at], n[at]))
 
 
-def _count_triples(trie: Trie, block: list[pa.Array]) -> pa.RecordBatch:
-    t = Tokens(block)
-    number = np.append(trie.numbers(t.words), trie.begin)
-    both, wide = _pairs_of(t)
+def _count_triples(trie: Trie, t: Coded) -> pa.RecordBatch:
+    both, number, wide = t.pairs(trie.begin)
     pairs, pair_of = np.unique(both, return_inverse=True)
     del both
     place, rank, _, _ = trie.bigrams(number[pairs >> wide], number[pairs & ((1 << wide) - 1)], coded=False)
@@ -606,16 +625,39 @@ def _smooth_triples(trie: Trie, s: int) -> None:
 
 
 def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Model:
-    """Count and build over the column ``text`` (not null) of all rows."""
-    spark = texts.sparkSession
+    """The model of the column ``text`` (not null) of all rows."""
+    return build(texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), folder, shard)[0]
+
+
+def build(df: DataFrame, folder: str | None = None, shard: int = SHARD) -> tuple[Model, DataFrame]:
+    """Learn from the rows of ``df`` (doc_id, held_out, text) that are not held out. Gives
+    the model and all texts in blocks: ``rows`` (the first two columns) and ``block``."""
+    spark = df.sparkSession
     prepare(spark)
-    texts = texts.select("text")
+    texts = df.filter("not held_out").select("text")
     model = Model(_shared_path(spark, folder))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(model)
+        for held, block in _blocks(batches, 2):
+            rows = pa.Table.from_batches(held).select(["doc_id", "held_out"]).combine_chunks().to_batches()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema) as out:
+                out.write_batch(rows[0])
+            cells = [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([Coded.of(block, trie).packed()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["rows", "block"])
+
+    def in_blocks() -> DataFrame:
+        """Written to the shared folder once; every later pass reads it there."""
+        path = f"file://{model.folder}/texts"
+        df.mapInArrow(coded, "rows binary, block binary").write.mode("overwrite").parquet(path)
+        return spark.read.schema("rows binary, block binary").parquet(path)
+
     vocabulary = checkpoint(texts.mapInArrow(_count_words, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")))
     sums = vocabulary.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     model.words, model.tokens = int(sums["v"]), int(sums["n"] or 0)
     if not model.words:
-        return model
+        return model, in_blocks()
     begins = int(vocabulary.filter(F.col("w") == END).first()["c"])  # as many texts begin as end
     model.bits = (max(2 * model.words, model.tokens) // shard).bit_length()
     shards = 1 << model.bits
@@ -659,10 +701,12 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
     def counted(count):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie = Trie(model)
-            for _, block in _blocks(batches, 0):
-                yield count(trie, block)
+            for rows, block in _read(batches):
+                learnt = ~rows.column(1).to_numpy(zero_copy_only=False)
+                if learnt.any():
+                    yield count(trie, block.some(learnt))
 
-        return texts.mapInArrow(run, "s long, block binary")
+        return blocks.mapInArrow(run, "s long, block binary")
 
     def columns_of(table: pa.Table) -> list[np.ndarray]:
         return [np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in table["block"]))]
@@ -680,6 +724,7 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
         _save_pairs(Trie(model), s, keys, counts)
         return _stats(s, counts, *_ranges(counts, shard))
 
+    blocks = in_blocks()
     stats = gathered(counted(_count_pairs), save_pairs)
     for s in set(range(model.split_words.end or shards)) - set(stats):
         _save_pairs(Trie(model), s, none, none)
@@ -699,19 +744,24 @@ def train(texts: DataFrame, folder: str | None = None, shard: int = SHARD) -> Mo
     model.cuts[3] = discounts(sum((np.array(x["seen"]) for x in stats.values()), np.zeros(4, np.int64)))
     model.ranges.weigh(stats, model.cuts[3])
     built(model.ranges.end, _smooth_triples)
-    return model
+    return model, blocks
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Coded]]:
+    for batch in batches:
+        for rows, block in zip(*batch.columns):
+            with pa.ipc.open_stream(rows.as_buffer()) as stream:
+                yield stream.read_next_batch(), Coded.unpacked(block.as_buffer())
 
 
-def score_texts(trie: Trie, texts: list[pa.Array]) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score and score of each text (not null)."""
-    t = Tokens(texts)
+def score_texts(trie: Trie, t: Coded) -> dict[str, np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text."""
     m = trie.m
     if not m.words:  # nothing was learnt: c = N = V = 0
         base = np.zeros(len(t.lengths))
         return {"n_tokens": t.lengths, "n_known": np.zeros(len(t.lengths), np.int64), "base_score": base, "score": base.copy()}
-    number = np.append(trie.numbers(t.words), trie.begin)
-    counts, one = trie.counts(number[:-1]), trie.unigram(number[:-1])
-    both, wide = _pairs_of(t)
+    both, number, wide = t.pairs(trie.begin)
+    counts, one = trie.counts(t.number), trie.unigram(t.number)
     pairs, pair_of = np.unique(both, return_inverse=True)
     del both
     last = pairs & ((1 << wide) - 1)
@@ -744,19 +794,15 @@ def lm_scores(docs: DataFrame, folds: int = 10, folder: str | None = None, shard
     whole. Extra columns are not read."""
     prepare(docs.sparkSession)
     df = docs.select(F.col("doc_id").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held_out"), text_of().alias("text"))
-    model = train(df.filter("not held_out"), folder, shard)
+    model, blocks = build(df, folder, shard)
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model)
-        for held, texts in _blocks(batches, 2):
-            out, at = score_texts(trie, texts), 0
-            for batch in held:
-                part = slice(at, at + batch.num_rows)
-                at = part.stop
-                columns = [batch.column(0), batch.column(1), *(pa.array(out[k][part]) for k in names)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", *names])
+        for rows, block in _read(batches):
+            out = score_texts(trie, block)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(out[k]) for k in names)], ["doc_id", "held_out", *names])
 
     kind = dict(df.dtypes)["doc_id"]
-    scored = df.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = blocks.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
