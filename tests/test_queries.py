@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
-from veridelta.plans import catalogue
+from veridelta.plans import catalogue, surface  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")

@@ -29,7 +29,8 @@ def save(df, folder, name):
         ("mysql://u:p@h:3307/db", "jdbc:mysql://h:3307/db"),
         ("trino://u@h/cat/sch", "jdbc:trino://h:8080/cat/sch"),
         ("clickhouse://u:p@h", "jdbc:clickhouse://h:8123/"),
-        ("duckdb:///tmp/x.db", "jdbc:duckdb:tmp/x.db"),
+        ("duckdb:///tmp/x.db", "jdbc:duckdb:/tmp/x.db"),
+        ("duckdb://data/x.db", "jdbc:duckdb:data/x.db"),
     ],
 )
 def test_addresses(spark, uri, url):

@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--table-write-limit", type=int)
     p.add_argument("-j", "--threads", help="partitions of a shuffle, or 'serial'")
     p.add_argument("-w", "--where")
-    p.add_argument("-a", "--algorithm", choices=("auto", "joindiff", "hashdiff"))
+    p.add_argument("-a", "--algorithm", choices=("auto", "joindiff", "hashdiff", "rangediff"))
     p.add_argument("--conf")
     p.add_argument("--run")
     p.add_argument("--dbt", action="store_true", default=None)
@@ -131,8 +131,8 @@ def run(spark: SparkSession, o: dict, out=print) -> int:
     if o.get("stats"):
         out(json.dumps(result.stats, default=str) if o.get("json_output") else result.text_stats())
         return 0
-    df = result.df if o.get("limit") is None else result.df.limit(o["limit"])
-    result.df = df
+    if o.get("limit") is not None:
+        result.df = result.ordered().limit(o["limit"])
     if o.get("json_output"):
         for row in result.json_lines().toLocalIterator():
             out(row["value"])

@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
 
+from .dbt_profile import project_source
 from .operators.diff import diff_tables
 from .operators.result import DiffResult
 from .operators.schema_diff import schema_diff
+from .sources.connect import connect
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,8 @@ class Model:
 
 
 def model_of(node: dict[str, Any]) -> Model:
+    if lacking := [k for k in ("unique_id", "name", "schema") if not node.get(k)]:
+        raise ValueError(f"a model of the manifest lacks {', '.join(lacking)}")
     config = node.get("config", {})
     return Model(
         node["unique_id"], node["name"], node.get("database"), node["schema"], node.get("alias") or node["name"],
@@ -45,10 +50,21 @@ def model_of(node: dict[str, Any]) -> Model:
 class Project:
     def __init__(self, folder: str | Path, state: str | Path | None = None):
         target = Path(folder) / "target"
-        self.manifest = json.loads((target / "manifest.json").read_text())
         results = target / "run_results.json"
-        self.results = json.loads(results.read_text()) if results.exists() else {"results": []}
-        self.before = json.loads(Path(state).read_text()) if state else None
+        before = json.loads(Path(state).read_text()) if state else None
+        self._take(json.loads((target / "manifest.json").read_text()), json.loads(results.read_text()) if results.exists() else None, before)
+
+    @classmethod
+    def of(cls, manifest: dict, results: dict | None = None, before: dict | None = None) -> Project:
+        out = cls.__new__(cls)
+        out._take(manifest, results, before)
+        return out
+
+    def _take(self, manifest: dict, results: dict | None, before: dict | None) -> None:
+        self.manifest, self.results, self.before = manifest, results or {"results": []}, before
+        for r in self.results["results"]:
+            if lacking := {"unique_id", "status"} - set(r):
+                raise ValueError(f"a run result lacks {', '.join(sorted(lacking))}")
 
     def models(self, select: str | None = None) -> list[Model]:
         """The models that the last run built, or those selected by name or pattern;
@@ -129,14 +145,18 @@ def summary(found: dict[str, list], result: DiffResult | None, keys: list[str])
 
 
 def diff_models(spark: SparkSession, o: dict) -> Iterator[tuple[str, str]]:
-    """(model, summary) for each model."""
-    project = Project(o.get("dbt_project_dir") or ".", o.get("state"))
-    for model in project.models(o.get("select")):
+    """(model, summary) for each model, several at a time (``threads``). Tables are read
+    from the profile's source where a profiles folder is given, else from the session's
+    catalog."""
+    folder = o.get("dbt_project_dir") or "."
+    project = Project(folder, o.get("state"))
+    source = connect(spark, project_source(folder, o["dbt_profiles_dir"]) if o.get("dbt_profiles_dir") else {"driver": "spark"})
+
+    def one(model: Model) -> tuple[str, str]:
         prod = project.production(model, o.get("prod_database"), o.get("prod_schema"))
-        if not spark.catalog.tableExists(prod):
-            yield model.name, f"{prod} does not exist: a new model"
-            continue
-        a, b = spark.table(prod), spark.table(model.path)
+        if not source.has_table(prod):
+            return model.name, f"{prod} does not exist: a new model"
+        a, b = source.table(prod), source.table(model.path)
         found, keys = schema_diff(a, b), project.primary_key(model)
         changed = {c for c, *_ in found["changed"]}
         include, exclude = model.meta.get("include_columns"), set(model.meta.get("exclude_columns", []))
@@ -145,7 +165,11 @@ def diff_models(spark: SparkSession, o: dict) -> Iterator[tuple[str, str]]:
         if keys and set(keys) <= set(a.columns) & set(b.columns):
             result = diff_tables(a, b, key_columns=tuple(keys), extra_columns=tuple(columns), where=model.meta.get("filter"), algorithm="joindiff", skip_null_keys=True)
             result.extra["columns_changed"] = column_changes(result)
-        yield model.name, summary(found, result, keys)
+        return model.name, summary(found, result, keys)
+
+    at_once = o.get("threads")
+    with ThreadPoolExecutor(int(at_once) if str(at_once or "").isdigit() else 1 if at_once == "serial" else 4) as pool:
+        yield from pool.map(one, project.models(o.get("select")))
 
 
 def column_changes(result: DiffResult) -> dict[str, int]:

@@ -20,8 +20,11 @@ def md5_as_hex(text: Column) -> Column:
     return F.md5(text)
 
 
-def joined_text(texts: list[Column], separator: str = "|") -> Column:
-    """Texts joined, nulls named; a single text is left bare."""
+def joined_text(texts: list[Column], separator: str = "|", hashed: bool = False) -> Column:
+    """Texts joined, nulls named; a single text is left bare. ``hashed`` joins their
+    MD5 instead, which bounds the length, as sources with short strings need."""
+    if hashed:
+        texts = [F.md5(F.coalesce(t, F.lit(NULL_TEXT))) for t in texts]
     if len(texts) == 1:
         return texts[0]
     parts: list[Column] = []

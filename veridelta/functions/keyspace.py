@@ -153,6 +153,13 @@ def mesh(points: Sequence[Sequence]) -> list[tuple[Vector, Vector]]:
     return [(Vector(tuple(a for a, _ in box)), Vector(tuple(b for _, b in box))) for box in itertools.product(*spans)]
 
 
+def outer_boxes(inner: tuple[Vector, Vector], outer: tuple[Vector, Vector]) -> list[tuple[Vector, Vector]]:
+    """The boxes that ``outer`` has beside ``inner``: at most 3^k - 1 for k keys, none
+    without extent."""
+    points = [[min(a, low), low, high, max(b, high)] for a, low, high, b in zip(outer[0], *inner, outer[1])]
+    return [box for box in mesh(points) if box != inner and all(a < b for a, b in zip(*box))]
+
+
 def space_size(low: Vector, high: Vector) -> int:
     return math.prod(b - a for a, b in zip(low, high))
 

@@ -82,3 +82,8 @@ def normalize(col: Column, kind: LogicalType) -> Column:
 def comparable(col: Column, kind: LogicalType) -> Column:
     """The raw value, as text where Spark has no order for it."""
     return normalize(col, kind) if kind.kind in ("json", "struct", "array") else col
+
+
+def as_text(col: Column, kind: LogicalType) -> Column:
+    """The canonical string of what ``comparable`` gave."""
+    return col if kind.kind in ("json", "struct", "array") else normalize(col, kind)

@@ -6,12 +6,14 @@ None and SKIP drop out. Catalyst merges, prunes and orders them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Generator, Iterable
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 from types import GeneratorType
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridelta.errors import QueryBuildError
@@ -266,3 +268,41 @@ class Aggregated(Relation):
 
 coalesce, sum_, avg, min_, max_, count, count_distinct, func = F.coalesce, F.sum, F.avg, F.min, F.max, F.count, F.count_distinct, F.call_function
 current_timestamp = F.current_timestamp
+current_database, current_schema = F.current_database, F.current_schema
+
+
+def select_one(spark: SparkSession, *exprs, **named) -> Relation:
+    """A select without a table: one row."""
+    return Relation(spark.range(1).select(*_named(exprs, named)))
+
+
+def with_params(spark: SparkSession, sql: str, **params: Any) -> Relation:
+    """SQL text whose ``:name`` marks are bound to values, never pasted."""
+    return Relation(spark.sql(sql, args=params))
+
+
+def run_all(queries: Iterable[Relation] | Generator, kind: Any = list) -> list:
+    """Results of queries run one after another. A generator gets each result back
+    where it yielded the query, and what it returns is the last one."""
+    if not isinstance(queries, GeneratorType):
+        return [q.query(kind) for q in queries]
+    out: list = []
+    try:
+        query = next(queries)
+        while True:
+            out.append(query.query(kind))
+            query = queries.send(out[-1])
+    except StopIteration as end:
+        return out if end.value is None else [*out, end.value]
+
+
+#: SQL types of Python ones.
+TYPE_NAMES = {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE", str: "STRING", bytes: "BINARY", date: "DATE", datetime: "TIMESTAMP", Decimal: "DECIMAL(38,18)"}
+
+
+def type_name(kind: type | str) -> str:
+    if isinstance(kind, str):
+        return kind
+    if kind not in TYPE_NAMES:
+        raise QueryBuildError(f"no SQL type for {kind.__name__}")
+    return TYPE_NAMES[kind]

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 
 from .hashdiff import DEFAULT_FACTOR, DEFAULT_THRESHOLD, HashDiff
 from .joindiff import JoinDiff
+from .rangediff import RangeDiff
 from .result import DiffResult
 from .segment import Segment
 
-AUTO, JOIN, HASH = "auto", "joindiff", "hashdiff"
+AUTO, JOIN, HASH, RANGE = "auto", "joindiff", "hashdiff", "rangediff"
 TABLE_WRITE_LIMIT = 1000
 
 
@@ -48,8 +49,10 @@ def diff_tables(
     remote: bool = False,
 ) -> DiffResult:
     """Compare two tables. ``auto`` joins where Spark reads both sides, and prunes by
-    checksums where a side is ``remote``. Keys are validated before any row is
-    returned; the table write limit applies in total (None: no limit)."""
+    checksums where a side is ``remote``; ``rangediff`` prunes by ranges of an integer
+    key, for tables sorted or partitioned by it. Keys are validated before any row is
+    returned; the table write limit applies in total (None: no limit), and what it
+    leaves out is counted in the extra statistics."""
     from veridelta.functions.keyspace import Vector
     from veridelta.sources.sinks import name_from_template, write_table
 
@@ -69,9 +72,9 @@ def diff_tables(
     a, b = as_segment(a, **options), as_segment(b, **options)
     if algorithm == AUTO:
         algorithm = HASH if remote else JOIN
-    if algorithm == HASH:
-        differ = HashDiff(a, b, factor=bisection_factor, threshold=bisection_threshold, strict_keys=strict_keys)
-        return DiffResult(differ.rows(), differ.keys, a.count, b.count, sources=differ, algorithm=HASH)
+    if algorithm in (HASH, RANGE):
+        differ = (HashDiff if algorithm == HASH else RangeDiff)(a, b, factor=bisection_factor, threshold=bisection_threshold, strict_keys=strict_keys)
+        return DiffResult(differ.rows(), differ.keys, a.count, b.count, sources=differ, algorithm=algorithm)
     if algorithm != JOIN:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     differ = JoinDiff(a, b, skip_null_keys, strict_keys)
@@ -80,5 +83,8 @@ def diff_tables(
         extra["exclusive_count"] = differ.exclusive_count().first()[0]
         extra["exclusive_sample"] = [tuple(r) for r in differ.sample_exclusive().collect()]
     if materialize_to_table:
-        write_table(differ.wide(materialize_all_rows), name_from_template(materialize_to_table), table_write_limit)
+        found = differ.wide(materialize_all_rows)
+        write_table(found, name_from_template(materialize_to_table), table_write_limit)
+        if table_write_limit is not None and (left := found.count() - table_write_limit) > 0:
+            extra["rows_not_written"] = left
     return DiffResult(differ.rows(), differ.key_names, a.count, b.count, extra, differ, JOIN)

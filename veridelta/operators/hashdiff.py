@@ -25,26 +25,45 @@ def check_options(factor: int, threshold: int) -> None:
         raise ValueError("the bisection factor must be below the threshold")
 
 
+def sign_column(names: list[str]) -> str:
+    """Name of the sign column: ``op``, with as many ``_`` as it takes to differ from
+    the compared columns."""
+    taken, name = {n.lower() for n in names}, "op"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def diff_sets(a: DataFrame, b: DataFrame, keys: list[str], ignored: frozenset[str] = frozenset(), json_columns: frozenset[str] = frozenset()) -> DataFrame:
     """All rows, ``-`` of a and ``+`` of b, of every key except those with exactly one
     row on each side that agree in all columns that count.
 
     Keys group null-safely. The keys that differ are found by an aggregation that
     combines before the shuffle, and their rows by a semi join, so a key with very
-    many rows stays spread."""
+    many rows stays spread. Inside, columns go by place, so any name may be compared;
+    the sign is in ``sign_column``."""
     names = a.columns
-    both = a.withColumn("_op", F.lit("-")).unionByName(b.withColumn("_op", F.lit("+")))
-    counted = [json_text(F.col(f"`{c}`")) if c in json_columns else F.col(f"`{c}`") for c in names if c not in ignored and c not in keys]
+    cells = [f"c{i}" for i in range(len(names))]
+    place = dict(zip(names, cells))
+    sides = (x.select(*(F.col(f"`{n}`").alias(c) for n, c in place.items())).withColumn("sign", F.lit(sign)) for x, sign in ((a, "-"), (b, "+")))
+    both = reduce(DataFrame.unionByName, sides)
+    counted = [json_text(F.col(place[c])) if c in json_columns else F.col(place[c]) for c in names if c not in ignored and c not in keys]
     value = F.struct(*counted) if counted else F.struct(F.lit(0))
-    same = (F.col("_na") == 1) & (F.col("_nb") == 1) & F.col("_low").eqNullSafe(F.col("_high"))
+    same = (F.col("na") == 1) & (F.col("nb") == 1) & F.col("low").eqNullSafe(F.col("high"))
     found = (
-        both.groupBy(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)))
-        .agg(F.count_if(F.col("_op") == "-").alias("_na"), F.count_if(F.col("_op") == "+").alias("_nb"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        both.groupBy(*(F.col(place[k]).alias(f"k{i}") for i, k in enumerate(keys)))
+        .agg(F.count_if(F.col("sign") == "-").alias("na"), F.count_if(F.col("sign") == "+").alias("nb"), F.min(value).alias("low"), F.max(value).alias("high"))
         .filter(~same)
-        .select(*(f"_k{i}" for i in range(len(keys))))
+        .select(*(f"k{i}" for i in range(len(keys))))
     )
-    on = reduce(lambda x, y: x & y, (F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
-    return both.join(found, on, "left_semi").select(F.col("_op").alias("op"), *(F.col(f"`{c}`") for c in names))
+    on = reduce(lambda x, y: x & y, (F.col(place[k]).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)))
+    return both.join(found, on, "left_semi").select(F.col("sign").alias(sign_column(names)), *(F.col(c).alias(n) for n, c in place.items()))
+
+
+def estimated_rows(df: DataFrame) -> int:
+    """Rows by the optimizer's estimate of the bytes; no job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, size // max(1, df._jdf.schema().defaultSize()))
 
 
 class HashDiff:
@@ -72,21 +91,22 @@ class HashDiff:
 
     @property
     def buckets(self) -> int:
-        """About ``threshold`` rows in each; bounded, so their list can be broadcast."""
+        """About ``threshold`` rows in each by estimate; bounded, so their list can be
+        broadcast. Their number changes the cost, never the result."""
         if self._buckets is None:
-            rows = max(self.a.count(), self.b.count())
+            rows = max(estimated_rows(self.a.rows()), estimated_rows(self.b.rows()))
             self._buckets = max(1, min(MAX_BUCKETS, -(-rows // self.threshold) * 4))
         return self._buckets
 
     def texts(self, side: Segment) -> DataFrame:
-        """The side's columns as canonical text under the first side's names."""
-        return side.rows().select(*(side.text(c).alias(x) for c, x in zip(side.columns, self.names)))
+        """The side's columns as canonical text, by place: c0, c1..."""
+        return side.rows().select(*(side.text(c).alias(f"c{i}") for i, c in enumerate(side.columns)))
 
     def _bucket(self) -> Column:
-        return hash_bucket([F.col(f"`{k}`") for k in self.keys], self.buckets).alias("bucket")
+        return hash_bucket([F.col(f"c{self.names.index(k)}") for k in self.keys], self.buckets).alias("bucket")
 
     def _sums(self, side: Segment, tag: str) -> DataFrame:
-        texts = [F.col(f"`{c}`") if c not in self.json_columns else json_text(F.col(f"`{c}`")) for c in self.names if c not in self.ignored]
+        texts = [json_text(F.col(f"c{i}")) if c in self.json_columns else F.col(f"c{i}") for i, c in enumerate(self.names) if c not in self.ignored]
         hashed = self.texts(side).select(self._bucket(), C.strong_hash(texts).cast("decimal(38,0)").alias("h"))
         return hashed.groupBy("bucket").agg(F.count("*").alias(f"count_{tag}"), F.sum("h").alias(f"checksum_{tag}"))
 
@@ -97,12 +117,13 @@ class HashDiff:
         return both.select("bucket", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("count_a", "count_b")), "checksum_a", "checksum_b", (~same).alias("is_diff"))
 
     def rows(self) -> DataFrame:
-        """op and the columns as text."""
+        """The sign (``sign_column``) and the columns as text under the first side's names."""
         odd = self.summary().filter("is_diff").select("bucket")
         odd = F.broadcast(odd) if self.buckets <= MAX_BUCKETS else odd
         sides = []
         for s in (self.a, self.b):
-            sides.append(self.texts(s).withColumn("bucket", self._bucket()).join(odd, "bucket", "left_semi").drop("bucket"))
+            kept = self.texts(s).withColumn("bucket", self._bucket()).join(odd, "bucket", "left_semi")
+            sides.append(kept.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(self.names))))
         return diff_sets(*sides, self.keys, self.ignored, self.json_columns)
 
     def info(self) -> dict:
@@ -118,9 +139,10 @@ class HashDiff:
 
 
 def range_checksums(s: Segment, buckets: int = DEFAULT_FACTOR) -> DataFrame:
-    """Count and checksum of each even range of the first key: segment_id, n, checksum."""
+    """Count and checksum (a decimal, so that it can't overflow) of each even range of
+    the first key: segment_id, n, checksum."""
     low, high = s.key_range()
     points = split_keys(low.parts[0], high.parts[0] + 1, max(1, buckets - 1))
     bucket = range_bucket(F.col(f"`{s.keys[0]}`"), points).alias("segment_id")
     texts = [s.text(c) for c in s.checked()]
-    return s.rows().groupBy(bucket).agg(F.count("*").alias("n"), C.checksum(texts).cast("long").alias("checksum"))
+    return s.rows().groupBy(bucket).agg(F.count("*").alias("n"), C.checksum(texts).alias("checksum"))

@@ -14,8 +14,11 @@ from .schema_diff import kinds
 
 
 def key_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: exclusive_a, exclusive_b, updated, by the signs that each key has."""
-    signs = rows.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.max((F.col("op") == "-").cast("int")).alias("m"), F.max((F.col("op") == "+").cast("int")).alias("p"))
+    """One row: exclusive_a, exclusive_b, updated, by the signs (the first column) that
+    each key has."""
+    op = F.col(f"`{rows.columns[0]}`")
+    cells = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]
+    signs = rows.groupBy(*cells).agg(F.max((op == "-").cast("int")).alias("m"), F.max((op == "+").cast("int")).alias("p"))
     return signs.agg(
         F.count_if(F.expr("m = 1 and p = 0")).alias("exclusive_a"),
         F.count_if(F.expr("m = 0 and p = 1")).alias("exclusive_b"),
@@ -24,7 +27,7 @@ def key_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class DiffResult:
-    """Lazy rows ``op, columns...`` with their reports."""
+    """Lazy rows, the sign and the columns, with their reports."""
 
     def __init__(self, rows: DataFrame, keys: list[str], count_a, count_b, extra: dict[str, Any] | None = None, sources=None, algorithm: str = ""):
         self.df, self.keys, self._counts = rows, keys, (count_a, count_b)
@@ -34,6 +37,10 @@ class DiffResult:
         for row in self.df.toLocalIterator():
             yield row[0], tuple(row[1:])
 
+    def ordered(self) -> DataFrame:
+        """The rows by their keys' text, ``-`` before ``+``."""
+        return self.df.orderBy(*(F.col(f"`{k}`").cast("string") for k in self.keys), F.col(f"`{self.df.columns[0]}`").desc())
+
     @cached_property
     def stats(self) -> dict[str, Any]:
         n1, n2 = (c() for c in self._counts)
@@ -75,7 +82,7 @@ class DiffResult:
     def json_lines(self) -> DataFrame:
         """One column ``value``: ["-", ["..."]] for each row."""
         cells = F.to_json(F.array(*(F.col(f"`{c}`") for c in self.df.columns[1:])))
-        return self.df.select(F.concat(F.lit('["'), F.col("op"), F.lit('", '), cells, F.lit("]")).alias("value"))
+        return self.df.select(F.concat(F.lit('["'), F.col(f"`{self.df.columns[0]}`"), F.lit('", '), cells, F.lit("]")).alias("value"))
 
 
 def number_to_human(n: float) -> str:
@@ -99,11 +106,18 @@ def wide_rows(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
     return wide.select(kind.alias("kind"), F.to_json(F.create_map(*values), {"ignoreNullFields": "false"}).alias("row"))
 
 
-def json_report(differ, result: DiffResult, names: tuple[str, str], with_summary: bool = True, with_columns: bool = True, limit: int | None = None) -> dict:
-    """The JSON document, version 1.1.0, of a join diff."""
+#: Rows that one JSON document holds; ``wide_rows`` writes any number of them to a sink.
+REPORT_ROWS = 100_000
+
+
+def json_report(differ, result: DiffResult, names: tuple[str, str], with_summary: bool = True, with_columns: bool = True, limit: int = REPORT_ROWS) -> dict:
+    """The JSON document, version 1.1.0, of a join diff. Of more than ``limit`` rows
+    the document tells how many it leaves out (``rows.omitted``)."""
     found = wide_rows(differ.wide(), differ.key_names, differ.names)
-    got: list[Row] = (found if limit is None else found.limit(limit)).collect()
-    rows = {"exclusive": {"dataset1": [], "dataset2": []}, "diff": []}
+    got: list[Row] = found.limit(limit + 1).collect()
+    omitted = found.count() - limit if len(got) > limit else 0
+    got = got[:limit]
+    rows: dict[str, Any] = {"exclusive": {"dataset1": [], "dataset2": []}, "diff": []} | ({"omitted": omitted} if omitted else {})
     for r in got:
         value = json.loads(r["row"])
         if r["kind"] == "diff":

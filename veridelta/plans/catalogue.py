@@ -14,6 +14,7 @@ from veridelta.operators import builder as B
 from veridelta.operators.align import with_precision
 from veridelta.operators.hashdiff import HashDiff, diff_sets, range_checksums
 from veridelta.operators.joindiff import JoinDiff
+from veridelta.operators.rangediff import RangeDiff
 from veridelta.operators.result import key_stats, wide_rows
 from veridelta.operators.schema_diff import schema_diff_frame
 from veridelta.operators.segment import Segment
@@ -195,6 +196,17 @@ for _name in ("orders", "conversations", "events"):
     _hash_query(_name)
 
 
+@query(_diff_sql("orders"))
+def rangediff_rows_orders(spark, d):
+    """Bisection of the key range, down to ranges of fewer than 64 rows."""
+    return RangeDiff(*_pair(spark, d, "orders"), factor=8, threshold=64).rows()
+
+
+@query(_diff_sql("conversations"))
+def rangediff_rows_conversations(spark, d):
+    return RangeDiff(*_pair(spark, d, "conversations")).rows()
+
+
 @query(_diff_sql("customer"))
 def hashdiff_customer_name_key(spark, d):
     return HashDiff(*_pair(spark, d, "customer")).rows()
@@ -269,12 +281,44 @@ def hashdiff_mutual_precision(spark, d):
     return HashDiff(*(Segment(x, ("o_orderkey",), extras=("o_totalprice", "o_orderstatus")) for x in (a, b))).rows()
 
 
-@query("SELECT count(*) FILTER (n1 = n2) AS unused, count(*) AS n FROM (SELECT 1 AS n1, 1 AS n2) q WHERE 1 = 0", "hashdiff_bucket_agreement")
+@query(
+    f"SELECT (SELECT count(*) FROM orders) AS rows_a, (SELECT count(*) FROM ({CHANGED['orders']}) b) AS rows_b, 1 AS differs, 0 AS equal_differs",
+    "hashdiff_bucket_agreement",
+)
 def _bucket_agreement(spark, d):
-    """Buckets of a table against itself: none may differ."""
-    a, _ = _pair(spark, d, "orders")
-    odd = HashDiff(a, a, buckets=64).summary().filter("is_diff")
-    return odd.agg(F.count_if(F.col("count_a") == F.col("count_b")).alias("unused"), F.count("*").alias("n"))
+    """Totals over the buckets; of a table with itself none may differ."""
+    a, b = _pair(spark, d, "orders")
+    flag = F.max(F.col("is_diff").cast("int"))
+    same = HashDiff(a, a, buckets=64).summary().agg(flag.alias("equal_differs"))
+    return HashDiff(a, b, buckets=64).summary().agg(F.sum("count_a").alias("rows_a"), F.sum("count_b").alias("rows_b"), flag.alias("differs")).join(same)
+
+
+_CLASH_A = 'SELECT o_orderkey AS {q}_na{q}, o_orderstatus AS bucket, o_orderpriority AS op, o_custkey AS {q}_op{q}, o_orderstatus AS {q}_low{q} FROM orders'
+_CLASH_B = "SELECT o_orderkey AS {q}_na{q}, CASE WHEN o_orderkey % 89 = 0 THEN 'x' ELSE o_orderstatus END AS bucket, o_orderpriority AS op, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_custkey END AS {q}_op{q}, o_orderstatus AS {q}_low{q} FROM orders WHERE o_orderkey % 101 <> 0"
+SHAPES["clash"] = ([("_na", "i")], [("bucket", "s"), ("op", "s"), ("_op", "s"), ("_low", "s")])
+
+
+@query(
+    f"""
+WITH u AS (SELECT '-' AS op_, * FROM ({_CLASH_A.format(q='"')}) a UNION ALL SELECT '+', * FROM ({_CLASH_B.format(q='"')}) b),
+w AS (SELECT *, count(*) OVER k AS n, min(struct_pack(bucket, op, _op, _low)) OVER k AS lo, max(struct_pack(bucket, op, _op, _low)) OVER k AS hi FROM u WINDOW k AS (PARTITION BY _na))
+SELECT op_, CAST(_na AS VARCHAR) AS _na, bucket, op, CAST(_op AS VARCHAR) AS _op, _low FROM w WHERE n <> 2 OR lo IS DISTINCT FROM hi"""
+)
+def hashdiff_clashing_columns(spark, d):
+    """Columns named like the engine's own; the sign column makes room."""
+    a, b = _clash(spark, d)
+    return HashDiff(a, b).rows()
+
+
+def _clash(spark, d):
+    keys, columns = SHAPES["clash"]
+    frames = (sql(spark, d, q.format(q="`")) for q in (_CLASH_A, _CLASH_B))
+    return [Segment(df, ("_na",), extras=tuple(c for c, _ in columns)) for df in frames]
+
+
+@query(_oracles["hashdiff_clashing_columns"])
+def joindiff_clashing_columns(spark, d):
+    return JoinDiff(*_clash(spark, d)).rows()
 
 
 # --- checksums, ranges, segments --------------------------------------------------
@@ -291,7 +335,7 @@ FROM o GROUP BY 1"""
 @query(_RANGE)
 def segment_checksum_range(spark, d):
     s = Segment(table(spark, d, "orders"), ("o_orderkey",), extras=("o_totalprice",))
-    return range_checksums(with_precision(s, {"o_totalprice": 2}), 32)
+    return range_checksums(with_precision(s, {"o_totalprice": 2}), 32).withColumn("checksum", F.col("checksum").cast("long"))
 
 
 _SEG = "sum(('0x' || substr(md5(concat(CAST(o_orderkey AS VARCHAR), '|', coalesce(o_orderstatus, '<null>'))), 21, 12))::BIGINT - 140737488355327)::BIGINT"
@@ -626,8 +670,12 @@ def connect_parquet(spark, d):
     return connect(spark, {"driver": "parquet", "path": d}).table("supplier.parquet").select("s_suppkey", "s_name")
 
 
-@query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1")
+_EVENT = "('0x' || substr(md5(concat(CAST(event_id AS VARCHAR), '|', coalesce(event_type, '<null>'))), 21, 12))::BIGINT - 140737488355327"
+
+
+@query(f"SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, sum({_EVENT})::BIGINT AS checksum FROM events GROUP BY 1")
 def checksum_monitor(spark, d):
-    """Batch form of the monitor: counts of its windows over all buckets."""
+    """Batch form of the monitor: counts and checksums of its windows over all buckets."""
     got = checksum_windows(table(spark, d, "events"), ["event_id"], "ts", ["event_id", "event_type"])
-    return got.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(F.sum("n").alias("n"))
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return got.groupBy(start).agg(F.sum("n").alias("n"), F.sum("checksum").cast("long").alias("checksum"))

@@ -71,6 +71,10 @@ def match_path(pattern: tuple[str, ...], text: str) -> dict[str, str]:
     return out
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 @dataclass
 class Source:
     """Something with tables. The session, and so the connection, is the caller's."""
@@ -93,6 +97,17 @@ class Source:
         which = {"query": name.strip()[1:-1]} if name.strip().startswith("(") else {"dbtable": name}
         return self.spark.read.format("jdbc").options(**self.options, **which, **{k: str(v) for k, v in partitioning.items()}).load()
 
+    def has_table(self, name: str) -> bool:
+        if self.kind == "spark":
+            return self.spark.catalog.tableExists(name)
+        try:
+            self.table(name).schema
+        except Exception as e:  # the sources word it differently
+            if re.search("not exist|not found|no such|PATH_NOT_FOUND|invalid object", str(e), re.I):
+                return False
+            raise
+        return True
+
     def schema(self, name: str) -> dict[str, str]:
         return {f.name: f.dataType.simpleString() for f in self.table(name).schema}
 
@@ -101,7 +116,7 @@ class Source:
         if self.kind not in ("postgresql", "mysql", "redshift"):
             return []
         *schema, table = name.replace('"', "").replace("`", "").split(".")
-        test = f"table_name = '{table}'" + (f" AND table_schema = '{schema[-1]}'" if schema else "")
+        test = f"table_name = {_sql_text(table)}" + (f" AND table_schema = {_sql_text(schema[-1])}" if schema else "")
         rows = self.table(f"(SELECT column_name FROM information_schema.key_column_usage WHERE {test})").collect()
         return [r[0] for r in rows]
 
@@ -163,7 +178,8 @@ class Connect:
         if scheme == "spark":
             return Source(spark, scheme)
         d = DIALECTS[scheme]
-        values = match_path(d.path, got.path if scheme != "duckdb" else got.netloc + got.path)
+        # A file's path stays as it is: with its leading slash it is absolute.
+        values = {"file": unquote(got.netloc + got.path)} if scheme == "duckdb" else match_path(d.path, got.path)
         for k in values:
             if k in params:
                 raise ConnectError(f"{k} is given twice")
@@ -184,7 +200,9 @@ class Connect:
         values = {"host": "", "port": str(d.port or "")} | {p.rstrip("?*"): "" for p in d.path} | {k: str(v) for k, v in conf.items()}
         if lack := [k for k in d.needs if not values.get(k)]:
             raise ConnectError(f"the source lacks {', '.join(lack)}")
-        return self._jdbc(spark, scheme, values, values.get("user", ""), values.get("password", ""), {})
+        from veridelta.dbt_profile import OPTIONS
+
+        return self._jdbc(spark, scheme, values, values.get("user", ""), values.get("password", ""), {k: v for k, v in values.items() if k in OPTIONS})
 
     @staticmethod
     def _jdbc(spark: SparkSession, scheme: str, values: dict, user: str, password: str, params: dict) -> Source:

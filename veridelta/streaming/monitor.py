@@ -19,7 +19,7 @@ def _texts(df: DataFrame, columns: list[str]) -> list[Column]:
 def checksum_windows(
     df: DataFrame, keys: list[str], update_column: str, columns: list[str], window: str = "1 hour", lateness: str = "10 minutes", buckets: int = 16
 ) -> DataFrame:
-    """window_start, bucket, n, checksum of each window of the update column; of a
+    """window_start, bucket, n, checksum (a decimal, which can't overflow) of each window of the update column; of a
     stream, windows close when the watermark passes, and later rows are dropped."""
     stamped = df.withColumn("_at", F.col(f"`{update_column}`").cast("timestamp"))
     if df.isStreaming:
@@ -27,7 +27,7 @@ def checksum_windows(
     sums = stamped.groupBy(F.window("_at", window).alias("w"), hash_bucket(_texts(df, keys), buckets).alias("bucket")).agg(
         F.count("*").alias("n"), C.checksum(_texts(df, columns)).alias("checksum")
     )
-    return sums.select(F.col("w.start").alias("window_start"), "bucket", "n", F.col("checksum").cast("long").alias("checksum"))
+    return sums.select(F.col("w.start").alias("window_start"), "bucket", "n", "checksum")
 
 
 def drifted(a: DataFrame, b: DataFrame) -> DataFrame:
