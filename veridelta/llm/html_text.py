@@ -4,7 +4,8 @@ Every element gets features of its subtree (text, links, density), attribute
 words, depth, siblings and ancestors; boosted trees give its log-odds of being
 main text. A bottom-up decoding then labels whole subtrees: an element is kept,
 dropped, or opened so that its children decide, whichever explains the text
-under it best, and nothing under a dropped or kept element contradicts it.
+under it best, and nothing under a dropped or kept element contradicts it. A page
+of which nothing is kept falls back to its dense elements.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _TOLD = ("class", "id", "role", "aria-label", "data-role", "itemprop", "name")
 _GROUPS = tuple(WORDS)
 _NEAR = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "list")
+#: Tags that never hold main text, where there is only their word for it.
+_NOT_MAIN = frozenset("nav header footer aside form fieldset menu dialog".split())
 _SPACE = re.compile(r"\s+")
 #: Cost of opening an element whose children then decide, in log-odds.
 OPEN = 1.5
@@ -178,6 +181,21 @@ class Page:
                 i = self.end[i]
         return out
 
+    def dense(self) -> np.ndarray:
+        """Elements that neither their tag, nor a name, nor many links mark as no main
+        text, and that lie in none that is marked."""
+        out = np.zeros(len(self.nodes), bool)
+        for i, node in enumerate(self.nodes):
+            p, groups = self.parent[i], groups_of(node)
+            named = groups - {"main"} and "main" not in groups
+            marked = node.tag in _NOT_MAIN or named or (node.tag in BLOCK and node.tag != "body" and self.link[i] > self.text[i] / 2)
+            out[i] = not marked and (p < 0 or out[p])
+        return out
+
+    def main_text(self, odds: np.ndarray) -> str:
+        """The decoded text; where that is empty, what is dense."""
+        return self.blocks_of(self.keep(odds)) or self.blocks_of(self.dense())
+
     def blocks_of(self, keep: np.ndarray) -> str:
         """Text of the kept elements: blocks in page order, joined by two line ends."""
         blocks: list[str] = []
@@ -226,10 +244,23 @@ def _prose(rng: random.Random, low: int = 1, high: int = 6) -> str:
     return " ".join(_words(rng, rng.randint(3, 22)).capitalize() + rng.choice(".....?!").replace(" ", "") for _ in range(rng.randint(low, high)))
 
 
+def _plain_name(rng: random.Random) -> str:
+    """A name that tells nothing: of layout, or made by a tool."""
+    kind = rng.random()
+    if kind < 0.5:
+        return rng.choice("box row col wrap c1 x-2 inner block grid cell outer left u-1 css-1x2 container panel".split())
+    if kind < 0.75:
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(1, 7)))
+    return "-".join(_words(rng, 1) for _ in range(rng.randint(1, 2)))
+
+
 def _attrs(rng: random.Random, group: str, share: float = 0.8) -> str:
     if rng.random() > share:
-        return f' class="{rng.choice("box row col wrap c1 x-2 inner block".split())}"' if rng.random() < 0.6 else ""
+        return f' class="{_plain_name(rng)}"' if rng.random() < 0.6 else ""
     word = rng.choice(WORDS[group])
+    if rng.random() < 0.12:  # names of another kind besides, as in a post's topic
+        other = [rng.choice(WORDS[rng.choice([g for g in WORDS if g != group])]) for _ in range(rng.randint(1, 2))]
+        return f' class="{word} {rng.choice(("tag", "c", "is", "topic"))}-{"-".join(other)}"'
     word = rng.choice((word, word, f"site-{word}", f"{word}-{rng.choice('box wrap list area inner block'.split())}", f"page-{word}"))
     return rng.choice((f' class="{word}"', f' id="{word}"', f' class="{rng.choice(("row", "col", "u-1"))} {word}"', f" class='{word}'"))
 
@@ -239,10 +270,11 @@ def _links(rng: random.Random, n: int) -> str:
 
 
 def training_page(rng: random.Random) -> str:
-    """A synthetic page; ``data-y`` marks the element that holds the main text and
-    ``data-n`` what inside it is not."""
-    bare = rng.random() < 0.3  # few telling attributes
-    hint = 0.35 if bare else 0.85
+    """A synthetic page; ``data-y`` marks the elements that hold the main text and
+    ``data-n`` what is not. Names tell much, little or nothing, and a part of the
+    pages has no element around the main text, or no other text at all."""
+    hint = rng.choice((0.85, 0.85, 0.85, 0.35, 0.0))
+    layout = rng.choices(("held", "loose", "alone", "text"), (70, 15, 10, 5))[0]
 
     def not_main(tag: str, group: str, inner: str) -> str:
         return f"<{tag}{_attrs(rng, group, hint)} data-n>{inner}</{tag}>"
@@ -286,6 +318,17 @@ def training_page(rng: random.Random) -> str:
         return not_main(rng.choice(("aside", "div", "section")), "side", f"<h3>{_words(rng, 2)}</h3>" + rng.choice((f"<ul>{_links(rng, rng.randint(3, 8))}</ul>", f"<p>{_prose(rng, 1, 3)}</p>")))
 
     title = _words(rng, rng.randint(4, 12)).capitalize()
+    head = f"<!DOCTYPE html><html><head><title>{title}</title><script>x('</p>')</script></head>"
+    if layout == "text":  # hardly any markup
+        lines = "<br>".join(_prose(rng, 1, 4) for _ in range(rng.randint(1, 8)))
+        return f"{head}<body data-y>{lines}</body></html>"
+    if layout == "alone":  # nothing but the main text, repetitive or not
+        same = _prose(rng, 2, 4)
+        parts = [f"<p>{same} {_words(rng, 1)}.</p>" if rng.random() < 0.5 else block() for _ in range(rng.randint(1, 12))]
+        inner = (f"<h1>{title}</h1>" if rng.random() < 0.5 else "") + "".join(parts)
+        for _ in range(rng.randint(0, 2)):
+            inner = f"<div{_attrs(rng, 'main', hint / 2)}>{inner}</div>"
+        return f"{head}<body data-y>{inner}</body></html>"
     inner = "".join(block() for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14))))
     if rng.random() < 0.85:
         inner = f"<h1>{title}</h1>" + inner
@@ -298,7 +341,9 @@ def training_page(rng: random.Random) -> str:
     holder = rng.choice(("article", "article", "article", "main", "div", "div", "section"))
     told = _attrs(rng, "main", hint if holder != "div" else max(hint, 0.7))
     core = f"<{holder}{told if holder != 'article' or rng.random() < 0.5 else ''} data-y>{inner}</{holder}>"
-    for _ in range(rng.randint(0, 2)):
+    if layout == "loose":  # blocks lie in the body or in a box with all the rest
+        core = re.sub(r"<(h1|h2|p|ul|div|table|blockquote|pre)(?=[ >])(?![^>]*data-n)", r"<\1 data-y", inner)
+    for _ in range(rng.randint(0, 2) if layout == "held" else 0):
         core = f"<div{_attrs(rng, 'main', 0.3)}>{core}{outside() if rng.random() < 0.3 else ''}</div>"
     tag = rng.choice(("header", "header", "div"))
     top = f"<{tag}{_attrs(rng, 'frame', hint if tag == 'header' else 0.9)} data-n>{_words(rng, 3)}{'<p>' + _prose(rng, 1, 1) + '</p>' if rng.random() < 0.4 else ''}</{tag}>"
@@ -308,11 +353,14 @@ def training_page(rng: random.Random) -> str:
     before = "".join(outside() for _ in range(rng.choice((0, 0, 1, 1, 2))))
     after = "".join(outside() for _ in range(rng.choice((0, 0, 1, 2, 3))))
     start = rng.choice((top + menu, menu + top, menu, top, menu))
-    return f"<!DOCTYPE html><html><head><title>{title}</title><script>x('</p>')</script></head><body>{start}{before}{core}{after}{bottom}</body></html>"
+    rest = rng.random()
+    if layout == "loose" and rest < 0.5:  # few other parts
+        start, before, after = rng.choice((start, "")), "", ""
+    return f"{head}<body>{start}{before}{core}{after}{bottom}</body></html>"
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 700, seed: int = 11) -> gbt.Trees:
+def model(pages: int = 900, seed: int = 11) -> gbt.Trees:
     """Boosted trees fitted on ``pages`` synthetic pages (a bound, not a sample of
     the corpus: real pages carry no labels). Elements above the main text, whose
     subtrees mix both, are left out."""
@@ -323,7 +371,8 @@ def model(pages: int = 700, seed: int = 11) -> gbt.Trees:
         for i, node in enumerate(page.nodes):
             p = page.parent[i]
             own = 1 if "data-y" in node.attrs else -1 if "data-n" in node.attrs else 0
-            state[i] = -1 if own < 0 else own or (state[p] if p >= 0 else 0)
+            above = state[p] if p >= 0 else 0
+            state[i] = -1 if own < 0 or above < 0 else own or above
         mixed[:] = (state == 0) & (page.own == 0)
         x = page.features()[~mixed & (page.text > 0)]
         xs.append(x)
@@ -331,19 +380,12 @@ def model(pages: int = 700, seed: int = 11) -> gbt.Trees:
     return gbt.train(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
-def extract(html: str | None, trees: gbt.Trees) -> str:
-    page = Page(html or "")
-    if not page.text[0]:
-        return ""
-    return page.blocks_of(page.keep(trees.predict(page.features())))
-
-
 def extract_many(htmls: list[str | None], trees: gbt.Trees) -> list[str]:
     """Predictions are made for all elements of the pages at once."""
     pages = [Page(h or "") for h in htmls]
     sizes = np.cumsum([0, *(len(p.nodes) for p in pages)])
     odds = trees.predict(np.concatenate([p.features() for p in pages])) if pages else np.zeros(0)
-    return [p.blocks_of(p.keep(odds[a:b])) if p.text[0] else "" for p, a, b in zip(pages, sizes, sizes[1:])]
+    return [p.main_text(odds[a:b]) if p.text[0] else "" for p, a, b in zip(pages, sizes, sizes[1:])]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
