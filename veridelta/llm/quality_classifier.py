@@ -13,6 +13,9 @@ from .common import prepare, text_of
 
 #: Labelled rows that the model is fitted on, the least by hash of doc_id.
 TRAIN_ROWS = 8000
+#: Longer texts are not learnt from (all are scored), so that the driver holds at
+#: most TRAIN_ROWS times as many characters.
+TRAIN_CHARS = 50_000
 THRESHOLD = 0.3
 
 
@@ -33,7 +36,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("_t")).filter(F.length("_t") <= TRAIN_CHARS)
     # At most ``rows`` ids are broadcast and as many labelled texts collected.
     got = texts.join(F.broadcast(known), "_id").orderBy(F.xxhash64("_id", "_t")).limit(rows).select("_t", "_y").toPandas()
     return crf.train(got["_t"].tolist(), got["_y"].to_numpy())
