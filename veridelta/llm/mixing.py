@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, checkpoint, text_of
 
 SEED = "mix-1"
+#: Copies of one document that one step makes: a row never holds a longer list.
+STEP = 4096
 #: exp(-rate) must not underflow; larger rates are drawn in parts.
 MOST = 700.0
 
@@ -104,7 +106,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
         .withColumn("_vd_n", first + more)
         .filter("_vd_n > 0")
     )
-    copies = drawn.select(*(F.col(f"`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), F.col("_vd_n"))).alias("mix_copy"))
+    steps = F.sequence(F.lit(0), F.floor((F.col("_vd_n") - 1) / STEP).cast("int"))
+    drawn = drawn.select("*", F.explode(steps).alias("_vd_step")).withColumn("_vd_low", F.col("_vd_step") * STEP + 1)
+    range_ = F.sequence(F.col("_vd_low"), F.least(F.col("_vd_low") + STEP - 1, F.col("_vd_n")))
+    copies = drawn.select(*(F.col(f"`{c}`") for c in columns), F.explode(range_).alias("mix_copy"))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text_of()), F.col("mix_copy"))
     copies = copies.withColumn("mix_key", key)
     # The map partition in the shuffle key parts equal rows; the order is the key's.
