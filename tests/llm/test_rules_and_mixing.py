@@ -33,6 +33,8 @@ def texts(seed=0):
         if rng.random() < 0.3:
             lines += [lines[0]] * 40
         out.append(rng.choice(["\n", " \n ", "\n\n"]).join(lines))
+    plain = [f"{word()} {word()}{i}" for i in range(60)]
+    out += [" ".join(plain).upper(), " | ".join(plain), "! ".join(plain), "...\n".join(plain), " … \n".join(plain), "\n".join(plain)]
     return out + ["one two three four five " * 4000]
 
 
@@ -46,9 +48,38 @@ def plain_rules(text):
     symbols, dup, repeat = sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
     failed = n < 50 or 100 * repeat > 50 * n
     bad = failed or chars < 2 * n or chars > 20 * n or symbols * 2 > n or dup * 10 > len(lines) * 6
+    bad |= text.count("!") * 10 > n * 3
+    bad |= sum(not any(c.isalnum() for c in w) for w in words) * 10 > n * 3
+    bad |= sum(bool(re.search("(?:\\.\\.\\.|…)[ \t\x0b\f\r]*$", x)) for x in lines) * 10 > len(lines) * 3
     return n, chars, symbols, dup, repeat, failed, not bad
 
 
+def test_later_measures_are_not_taken_of_rejected_rows(spark):
+    """The costly rule would fail on the texts that the cheap one rejects."""
+    rules = (
+        quality_rules.Rule("cheap", lambda m: F.startswith(m.text, F.lit("bad"))),
+        quality_rules.Rule("costly", lambda m: F.when(F.startswith(m.text, F.lit("bad")), F.raise_error(F.lit("measured"))).otherwise(False)),
+    )
+    df = docs(spark, [(i, f"{'bad' if i % 2 else 'good'} text", "s") for i in range(20)]).select(F.col("text"), "doc_id")
+    found = df.select("doc_id", quality_rules.judged(rules, F.col("text")).alias("by")).collect()
+    assert all(r["by"] == ("cheap" if r["doc_id"] % 2 else None) for r in found)
+    with pytest.raises(Exception, match="measured"):
+        df.select(quality_rules.judged(rules[::-1], F.col("text")).alias("by")).collect()
+
+
+def test_cheap_selective_rules_come_first(spark):
+    rows = [(i, ("x " * 300 if i % 2 else "short"), "s") for i in range(60)]
+    never = quality_rules.Rule("never", lambda m: m("n_repeat_words") < 0)
+    order = quality_rules.rule_order(docs(spark, rows), (never, *quality_rules.BASE_RULES))
+    assert {r.name for r in order} == {"never", "few_words", "repeated_windows"} and order[-1].name == "never"
+
+
+def test_a_filter_on_the_verdict_keeps_the_measures_single(spark):
+    found = quality_rules.quality_rules(docs(spark, [(1, "a b c", "s")]))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (found, found.filter("kept and n_repeat_words < 3"))]
+    assert plans[0].count("xxhash64") == plans[1].count("xxhash64")
+
+
 def test_quality_rules(spark):
     rows = [(i, t, "s") for i, t in enumerate(texts())]
     rows += rows[:2] + [(None, "a null id", None)]
@@ -138,8 +169,14 @@ def test_mixing_edges(spark):
     assert mixing.mix(none).count() == 0
     blank = docs(spark, [(i, "", "s") for i in range(200)])
     assert 100 < mixing.mix(blank).count() < 300
-    with pytest.raises(Exception, match="700"):
-        mixing.mix(docs(spark, [(i, "w" * 1000, "hot") for i in range(900)] + [(9000, "w", "rare")]), {"hot": 0.001, "rare": 0.999}).count()
+    # A rate far over one step of copies: two rows of 300,000 characters beside one character.
+    few = docs(spark, [(1, "w" * 300_000, "hot"), (2, "v" * 300_000, "hot"), (3, "x", "rare"), (4, None, None)])
+    got = {r["doc_id"]: r["count"] for r in mixing.mix(few).groupBy("doc_id").count().collect()}
+    rate = {r["source"]: r["rate"] for r in mixing.rates(few).collect()}["rare"]
+    assert rate > 700 and abs(got[3] - rate) < 6 * rate**0.5
+    many = docs(spark, [(i, "w" * 1000, "hot") for i in range(90)] + [(9000, "w", "rare")])
+    rows = mixing.mix(many, {"hot": 0.5, "rare": 0.5}).filter("doc_id = 9000").select("mix_copy").collect()
+    assert abs(len(rows) - 45_000) < 1500 and sorted(r[0] for r in rows) == list(range(1, len(rows) + 1))
 
 
 # --- packing --------------------------------------------------------------
@@ -159,6 +196,13 @@ def test_packing_is_a_partition_of_all_tokens(spark):
     for i, t, _ in rows:
         want[i] += len(WORD.findall(t or "")) + 1
     assert lengths == want
+    # In order the pieces of a document are its text.
+    texts = defaultdict(list)
+    for r in sorted(got, key=lambda r: r["piece"]):
+        texts[r["doc_id"]].append(r["text"])
+    repeated = {7, None, rows[0][0]}
+    assert all("".join(texts[i]) == (t or "") for i, t, _ in rows if i not in repeated)
+    assert all(len(WORD.findall(r["text"])) in (r["length"], r["length"] - 1) for r in got)
     bins = defaultdict(list)
     for r in got:
         bins[r["bin_id"]].append(r)
@@ -171,28 +215,52 @@ def test_packing_is_a_partition_of_all_tokens(spark):
     assert sum(lengths.values()) / sum(p[0]["bin_capacity"] for p in bins.values()) > 0.9
 
 
-def slow_best_fit(lengths, sizes, opening):
+def slow_best_fit(lengths, choose):
     bins = []  # used, room, when last filled
     for turn, n in enumerate(lengths):
         fits = [b for b in bins if b[1] >= n]
         if fits:
             b = min(fits, key=lambda b: (b[1], -b[2]))
         else:
-            b = [0, opening if n <= opening else min(s for s in sizes if s >= n), 0]
+            b = [0, choose(n, lengths[turn + 1 :]), 0]
             bins.append(b)
         b[:] = b[0] + n, b[1] - n, turn
     return sorted(b[0] for b in bins)
 
 
+def slow_least_cost(n, rest, sizes=(16, 32, 64), overhead=16):
+    costs = []
+    for s in sizes:
+        if s >= n:
+            room, used = s - n, n
+            for m in rest:  # falling
+                if m <= room:
+                    room, used = room - m, used + m
+            costs.append(((s + overhead) / used, -s))
+    return -min(costs)[1]
+
+
 def test_best_fit_against_a_slow_one():
-    rng = random.Random(4)
+    rng, sizes = random.Random(4), (16, 32, 64)
     for _ in range(50):
         lengths = sorted((rng.randint(1, 64) for _ in range(60)), reverse=True)
-        for opening in (16, 32, 64):
-            used = packing.best_fit(np.array(lengths), (16, 32, 64), opening)[2]
-            assert sorted(used.tolist()) == slow_best_fit(lengths, (16, 32, 64), opening)
-        costs = [sum(min(s for s in (16, 32, 64) if s >= u) + 16 for u in slow_best_fit(lengths, (16, 32, 64), o)) for o in (16, 32, 64)]
-        assert int((packing.pack(np.array(lengths), (16, 32, 64), 16)[3] + 16).sum()) == min(costs)
+        chosen = [(packing.least_cost(sizes, 16), slow_least_cost)]
+        chosen += [(packing.fixed(sizes, o), lambda n, rest, o=o: o if n <= o else min(s for s in sizes if s >= n)) for o in sizes]
+        costs = []
+        for fast, slow in chosen:
+            want = slow_best_fit(lengths, slow)
+            assert sorted(packing.best_fit(np.array(lengths), sizes, fast)[2].tolist()) == want
+            costs.append(sum(min(s for s in sizes if s >= u) + 16 for u in want))
+        assert int((packing.pack(np.array(lengths), sizes, 16)[3] + 16).sum()) == min(costs)
+
+
+def test_cuts_are_whole_words():
+    for text in ("", " ", "a", " a b  c\nd ", "a b c d ", "x\x85y z\u2003w v u"):
+        for most in (1, 2, 3, 9):
+            got = packing.cut(text, most)
+            assert "".join(t for *_, t in got) == text and sum(n for _, n, _ in got) == len(WORD.findall(text)) + 1
+            assert [s for s, *_ in got] == [k * most for k in range(len(got))] and all(1 <= n <= most for _, n, _ in got)
+            assert [len(WORD.findall(t)) for *_, t in got] == [n for _, n, _ in got[:-1]] + [got[-1][1] - 1]
 
 
 def test_packing_edges(spark):
