@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, let
 
 #: Bits and hashes for each key: of level 0 and of the deeper levels.
 FIRST, DEEPER = (16, 8), (8, 4)
@@ -35,16 +35,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def candidates(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add ``_vd_keys``: structs (n, h, key) of all that a rule could match."""
-    df = df.withColumn("_vd_labels", F.split("_vd_host", r"\."))
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size("_vd_labels")), lambda i: F.array_join(F.slice(F.col("_vd_labels"), i, F.size("_vd_labels")), ".")
-    )
+def candidates(df: DataFrame, lengths: list[int], labels: list[int]) -> DataFrame:
+    """Add ``_vd_keys``: structs (n, h, key) of all that a rule could match: suffixes of
+    the host of as many labels as some rule's host, with path prefixes of the lengths
+    of the rules' paths."""
+    had = F.length("_vd_host") - F.length(F.replace("_vd_host", F.lit("."), F.lit(""))) + 1
+    none = F.expr("cast(array() as array<string>)")
+    suffixes = F.array_compact(F.array(*(F.when(had >= k, F.substring_index("_vd_host", ".", -k)) for k in labels))) if labels else none
     df = df.withColumn("_vd_suffixes", F.filter(suffixes, lambda s: s != ""))
     paths = F.array_compact(
         F.array(*(F.when(F.length("_vd_path") >= n, F.substring("_vd_path", 1, n)) for n in lengths))
-    ) if lengths else F.expr("cast(array() as array<string>)")
+    ) if lengths else none
     df = df.withColumn("_vd_paths", paths)
     keys = F.flatten(
         F.transform(
@@ -55,7 +56,7 @@ def candidates(df: DataFrame, lengths: list[int]) -> DataFrame:
             ),
         )
     )
-    return df.withColumn("_vd_keys", keys).drop("_vd_labels", "_vd_suffixes", "_vd_paths")
+    return df.withColumn("_vd_keys", keys).drop("_vd_suffixes", "_vd_paths")
 
 
 def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -82,11 +83,13 @@ class Level:
     def contains(self, key: Column) -> Column:
         """A byte is read by position; its bit is tested."""
 
-        def bit(p: Column) -> Column:
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        def bit(data: Column, p: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte, (p % 8).cast("int")) == 1
 
-        return reduce(lambda a, b: a & b, map(bit, _positions(key, self.level, self.bits, self.hashes)))
+        places = _positions(key, self.level, self.bits, self.hashes)
+        # The bytes stand in the plan once, however many places are read.
+        return let(F.lit(self.data), lambda data: reduce(lambda a, b: a & b, (bit(data, p) for p in places)))
 
 
 class Cascade:
@@ -134,7 +137,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_column: st
     lengths = sorted({len(p) for _, _, p in rules})
     host, path = host_and_path(F.col("url"))
     df = pages.select(F.col(id_column).alias("_vd_id"), host.alias("_vd_host"), path.alias("_vd_path"))
-    df = candidates(df, lengths)
+    df = candidates(df, lengths, sorted({h.count(".") + 1 for _, h, _ in rules}))
     frames = {v: spark.createDataFrame([(k,) for k in keys], "key string") for v, keys in listed.items()}
     universe = df.select(F.explode("_vd_keys").alias("k")).select("k.key")
     try:
