@@ -12,12 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_az, text_of
+from .common import HOT_ROWS, HOT_SHARE, checkpoint, lower_az, one_each, text_of, without
 
-#: A group with over 1/HOT_SHARE of all rows is hot: there are fewer than
-#: HOT_SHARE of them at any size, which bounds what is broadcast.
-HOT_SHARE = 1000
-HOT_ROWS = 64
 SALTS = 32
 
 
@@ -102,21 +98,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (all its columns) with one row of every group of equal texts."""
-    from .common import without
-
-    found = checkpoint(exact_duplicates(docs))
-    digest = F.sha2(lower_az(text_of()), 256)
-    losers = found.filter(~F.col("kept")).select("doc_id", "text_sha256")
-    out = without(docs, losers, {"doc_id": docs["doc_id"].cast("long"), "text_sha256": digest})
-    repeated = found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    if repeated.isEmpty():
-        return out
-    # Whole repeated rows: partial aggregation leaves one for each task first.
-    key = F.struct(F.col("doc_id").cast("long"), digest)
-    return (
-        out.select(key.alias("_vd_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_vd_row"))
-        .groupBy("_vd_key")
-        .agg(F.first("_vd_row").alias("_vd_row"))
-        .select("_vd_row.*")
-    )
+    """``docs`` (all its columns) with one row of every group of equal texts: of the
+    rows of the largest doc_id the one whose JSON has the least SHA-256."""
+    found = checkpoint(exact_duplicates(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")))
+    keys = {"doc_id": docs["doc_id"].cast("long"), "digest": F.unhex(F.sha2(lower_az(text_of()), 256))}
+    out = without(docs, found.filter(~F.col("kept")).select("doc_id", "digest"), keys)
+    return one_each(out, found.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1"), keys)

@@ -15,12 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import let, text_of
 
-KEY = "pseudonyms-1"
 ROUNDS = 8
-#: Dates from FIRST_DAY on, in YEARS x 365 days, are permuted among themselves.
-FIRST_DAY, YEARS = "1900-01-01", 200
+#: Eras of days since 0001-01-01: first day, and two factors of the number of days.
+#: A date is permuted within its era, so those of our time stay there; the first
+#: ends with 1899, the second covers 200 years of 365 days, the last ends with 9999.
+ERAS = ((0, 35, 19_817), (693_595, 200, 365), (766_595, 2344, 1231))
 
 _CREDENTIAL = r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\x22?\s{0,3}[=:]\s{0,3}\x22?)"
 _VALUE = r"[\x21\x23-\x26\x28-\x2B\x2D-\x3A\x3C-\x7E]{6,}"
@@ -55,11 +56,6 @@ _REST = _kinds(_CARD)
 _HINT = r"[0-9@=:]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def feistel(values: Column, radix: Column, key: str, kind: Column | str) -> Column:
     """Keyed permutation of an int array; position i stays below radix[i]. The only
     position of an array of one is always moved."""
@@ -171,12 +167,19 @@ def _ip(text: Column, key: str) -> Column:
 
 
 def _date(text: Column, key: str, pattern: Column) -> Column:
-    day = F.datediff(F.to_date(F.try_to_timestamp(text, pattern)), F.lit(FIRST_DAY).cast("date"))
+    start = F.lit("0001-01-01").cast("date")
+    day = F.datediff(F.to_date(F.try_to_timestamp(text, pattern)), start)
 
     def moved(d: Column) -> Column:
-        parts = F.array(F.floor(d / 365).cast("int"), (d % 365).cast("int"))
-        to = let(feistel(parts, F.array(F.lit(YEARS), F.lit(365)), key, "date"), lambda p: F.element_at(p, 1) * 365 + F.element_at(p, 2))
-        return F.when(d.between(0, YEARS * 365 - 1), F.call_function("date_format", F.date_add(F.lit(FIRST_DAY).cast("date"), to), pattern)).otherwise(text)
+        out = None
+        for i, (first, high, low) in enumerate(ERAS):
+            at = d - first
+            parts = F.array(F.floor(at / low).cast("int"), (at % low).cast("int"))
+            to = let(feistel(parts, F.array(F.lit(high), F.lit(low)), key, f"date{i}"), lambda p: F.element_at(p, 1) * low + F.element_at(p, 2) + first)
+            inside = d.between(first, first + high * low - 1)
+            new = F.call_function("date_format", F.date_add(start, to), pattern)
+            out = F.when(inside, new) if out is None else out.when(inside, new)
+        return out.otherwise(text)
 
     return F.coalesce(let(day, moved), text)
 
@@ -188,7 +191,7 @@ def _dmy(text: Column, key: str) -> Column:
     return _date(text, key, first.otherwise(F.concat(F.lit("dd"), sep, F.lit("MM"), sep, F.lit("yyyy"))))
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
+def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one match of the pattern; itself where it isn't valid."""
 
     def whole(pattern: str) -> Column:
@@ -290,10 +293,12 @@ def _inside(run: Column, key: str) -> Column:
     return let(_cards(run), cut)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, and n_replaced for every row of ``docs``.
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with pseudonyms, and n_replaced for every row of ``docs``. Who
+    knows ``key`` can undo the pseudonyms: keep it secret.
 
-    Null text is empty. Matches that don't validate stay; in a run of digits that
+    Null text is empty. Matches that don't validate stay (every calendar date from
+    0001-01-01 to 9999-12-31 does); in a run of digits that
     is no card, the groups that make one are replaced. Repeated rows come back
     alike; an empty table gives no rows; other columns are not read."""
 

@@ -50,8 +50,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The session's secret, and what stands for it where none is set, as in tests.
+KEY_SETTING, TEST_KEY = "spark.veridelta.pseudonym.key", "not a secret"
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +95,16 @@ rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FR
 cov AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY r),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+        length(t) - length(replace(t, '!', '')) AS n_exclamations,
+        len(list_filter(ws, lambda x: NOT regexp_matches(x, '[\p{L}\p{N}]'))) AS n_bare_marks,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines
       FROM w LEFT JOIN cov ON w.r = cov.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR n_symbols * 2 > n_words OR n_dup_lines * 10 > n_lines * 6) AS kept
+            OR n_symbols * 2 > n_words OR n_dup_lines * 10 > n_lines * 6
+            OR n_bare_marks * 10 > n_words * 3 OR n_exclamations * 10 > n_words * 3 OR n_cut_lines * 10 > n_lines * 3) AS kept
 FROM m
 """
 
@@ -104,10 +112,10 @@ _OP10 = """
 WITH m AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS mass FROM documents GROUP BY source),
 r AS (SELECT source, sqrt(mass) / (SELECT sum(sqrt(mass)) FROM m) * (SELECT sum(mass) FROM m) / mass AS rate FROM m),
 p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-      FROM r, (SELECT unnest(generate_series(0, 200)) AS k) WHERE k <= rate + 12 * sqrt(rate) + 30),
+      FROM r, (SELECT unnest(generate_series(0, 1100)) AS k) WHERE k <= rate + 12 * sqrt(rate) + 30),
 u AS (SELECT doc_id, source, lang, text, ('0x' || substring(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')), 1, 12))::BIGINT::DOUBLE
         / 281474976710656.0 AS u FROM documents),
-n AS (SELECT doc_id, u.source, lang, text, (SELECT count(*) FROM p WHERE p.source = u.source AND p.cdf <= u.u) AS n FROM u)
+n AS (SELECT doc_id, u.source, lang, text, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.cdf <= u.u) AS n FROM u)
 SELECT doc_id, source, lang, unnest(generate_series(1, n)) AS mix_copy, text FROM n WHERE n > 0
 """
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, prepare, text_of, without
+from .common import checkpoint, one_each, prepare, spread_join, text_of, without
 from .components import components
 
 WORDS = 4
@@ -161,34 +161,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, d
     empty and blank texts have fingerprint zero and link like any other.
     Repeated rows come back repeated. An empty table gives no rows."""
     fps = checkpoint(fingerprints(docs, words))
-    least = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     root = components(links(least.select("fp"), radius, direct)).withColumnRenamed("node", "fp")
-    rooted = least.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = least.join(root, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(found, "fp").select(
-        "doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    found = checkpoint(rooted.join(lowest, "root").select("fp", "n", "component_id"))
+    out = spread_join(fps, found, "fp", "n", fps.count(), "doc_id")
+    return out.select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, found: DataFrame, group: Column) -> DataFrame:
     """``docs`` with one document of every component of ``found``; ``group`` tells
-    components without an id apart."""
-    found = checkpoint(found)
+    components without an id apart. Of rows that repeat id and text one stays."""
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))
     key = F.coalesce(F.col("component_id").cast("string"), group.cast("string"))
-    first = found.groupBy(key.alias("c")).agg(F.min(rank).alias("r")).select("c", "r.doc_id", "r.text_hash")
-    stays = first.select(F.col("c"), F.col("doc_id").alias("kd"), F.col("text_hash").alias("kt"))
-    losers = (
-        found.withColumn("c", key)
-        .join(stays, "c")
-        .filter(~(F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("text_hash") == F.col("kt"))))
-        .select("doc_id", "text_hash")
-    )
-    return without(docs, losers, {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(text_of())})
+    found = checkpoint(found.select("doc_id", "text_hash", key.alias("c")))
+    first = found.groupBy("c").agg(F.min(rank).alias("r"), F.count("*").alias("n"))
+    stays = checkpoint(first.select("c", "n", F.col("r.doc_id").alias("kd"), F.col("r.text_hash").alias("kt")))
+    with_first = spread_join(found, stays, "c", "n", found.count(), "doc_id")
+    stay = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("text_hash") == F.col("kt"))
+    keys = {"doc_id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(text_of())}
+    out = without(docs, with_first.filter(~stay).select("doc_id", "text_hash"), keys)
+    return one_each(out, found.groupBy("doc_id", "text_hash").count().filter("count > 1"), keys)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` (all its columns) with one document of every component, the one of
-    the least doc_id (of several texts with that id, the least text hash)."""
+    the least doc_id (of several texts with that id, the least text hash; of rows
+    with that id and text, the least SHA-256 of the row's JSON)."""
     return keep_first(docs, near_duplicates(docs, words, radius), F.col("fingerprint"))
