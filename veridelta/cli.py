@@ -20,6 +20,7 @@ from .operators.result import json_error
 from .operators.schema_diff import expand, schema_diff
 from .operators.segment import Segment
 from .sources.connect import connect, redacted
+from .sources.pushdown import FORMS, remote_table
 
 VERSION = "0.1.0"
 log = logging.getLogger("veridelta")
@@ -116,6 +117,7 @@ def run(spark: SparkSession, o: dict, out=print) -> int:
         *sides,
         algorithm=o.get("algorithm") or "auto",
         remote=sources[0] is not sources[1],
+        remote_tables=tuple(remote_table(s, o[f"table{i}"]) if s.kind in FORMS else None for i, s in enumerate(sources, 1)),
         bisection_factor=o.get("bisection_factor") or DEFAULT_FACTOR,
         bisection_threshold=o.get("bisection_threshold") or DEFAULT_THRESHOLD,
         validate_unique_key=not o.get("assume_unique_key"),

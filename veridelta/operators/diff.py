@@ -47,10 +47,12 @@ def diff_tables(
     skip_null_keys: bool = False,
     strict_keys: bool = False,
     remote: bool = False,
+    remote_tables: tuple = (None, None),
 ) -> DiffResult:
     """Compare two tables. ``auto`` joins where Spark reads both sides, and prunes by
     checksums where a side is ``remote``; ``rangediff`` prunes by ranges of an integer
-    key, for tables sorted or partitioned by it. Keys are validated before any row is
+    key, for tables sorted or partitioned by it, or with ``remote_tables`` (see
+    ``sources.pushdown``) for databases, which then sum their rows themselves. Keys are validated before any row is
     returned; the table write limit applies in total (None: no limit), and what it
     leaves out is counted in the extra statistics."""
     from veridelta.functions.keyspace import Vector
@@ -73,7 +75,8 @@ def diff_tables(
     if algorithm == AUTO:
         algorithm = HASH if remote else JOIN
     if algorithm in (HASH, RANGE):
-        differ = (HashDiff if algorithm == HASH else RangeDiff)(a, b, factor=bisection_factor, threshold=bisection_threshold, strict_keys=strict_keys)
+        options = {"factor": bisection_factor, "threshold": bisection_threshold, "strict_keys": strict_keys}
+        differ = HashDiff(a, b, **options) if algorithm == HASH else RangeDiff(a, b, remote=remote_tables, **options)
         return DiffResult(differ.rows(), differ.keys, a.count, b.count, sources=differ, algorithm=algorithm)
     if algorithm != JOIN:
         raise ValueError(f"unknown algorithm {algorithm!r}")
