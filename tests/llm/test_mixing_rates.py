@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from veridelta.llm import mixing
 
 
@@ -16,3 +18,8 @@ def test_rates_over_one_draw(spark):
         for source in ("rare", None):
             assert abs(got[source] - rate[source]) < 6 * math.sqrt(rate[source])
     assert sorted(map(tuple, mixing.mix(docs).groupBy("doc_id").count().collect())) == sorted(map(tuple, mixing.mix(docs.repartition(3)).groupBy("doc_id").count().collect()))
+
+
+def test_columns_that_are_needed(spark):
+    with pytest.raises(ValueError, match="source, text"):
+        mixing.mix(spark.createDataFrame([(1, "x")], "doc_id long, body string"))

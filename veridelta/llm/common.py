@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -27,7 +29,8 @@ def prepare(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder and keep Arrow batches small.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder is used.
+    unset (local tests) a temporary folder is used, until the process ends. The
+    batch size is the session's from then on: it holds for what runs later.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -47,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="checkpoints-"))
+        atexit.register(shutil.rmtree, _local[0], True)
     return _local[0]
 
 

@@ -91,7 +91,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
 
     A null source is a source of its own; null text is empty and weighs
     nothing (rate 1 where a source has no text at all). Equal rows draw the
-    same number. A column of docs with one of these two names is replaced."""
+    same number. A column of docs with one of these two names is replaced; columns
+    doc_id, text and source are needed (ValueError)."""
+    if lacking := {"doc_id", "text", "source"} - set(docs.columns):
+        raise ValueError(f"documents lack {', '.join(sorted(lacking))}")
     rate = rates(docs, weights, alpha).withColumn("_vd_parts", F.greatest(F.ceil(F.col("rate") / MOST), F.lit(1)).cast("long"))
     rate = checkpoint(rate.select(F.col("source").alias("_vd_source"), "_vd_parts", _cdf(F.col("rate") / F.col("_vd_parts")).alias("_vd_cdf")))
     if rate.count() <= BROADCAST_ROWS // 100:  # a CDF has some 40 numbers
