@@ -181,7 +181,7 @@ def connect_table_segment(spark, d):
     return s.rows().select("n_nationkey", "n_name")
 
 
-@query("SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS type FROM information_schema.columns WHERE table_name = 'orders'")
+@query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS type FROM (DESCRIBE SELECT * FROM orders) x")
 def source_schema(spark, d):
     return frame(spark, list(connect(spark, f"parquet://{d}").schema("orders.parquet").items()), "name string, type string")
 
@@ -277,7 +277,7 @@ def report_json_error(spark, d):
     return frame(spark, [(e["version"], e["status"], e["error"])], "version string, status string, error string")
 
 
-@query("SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'datetime' ELSE 'string' END AS kind FROM information_schema.columns WHERE table_name = 'orders'")
+@query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'datetime' ELSE 'string' END AS kind FROM (DESCRIBE SELECT * FROM orders) x")
 def report_kinds(spark, d):
     return frame(spark, list(kinds(table(spark, d, "orders")).items()), "name string, kind string")
 
@@ -393,7 +393,7 @@ def binary_precision(spark, d):
     return frame(spark, [(b, binary_digits(b)) for b in (11, 24, 53)], "bits int, digits long")
 
 
-@query("SELECT column_name AS name FROM information_schema.columns WHERE table_name = 'lineitem' AND (column_name LIKE 'l_%key' OR column_name LIKE 'l_ta_')")
+@query("SELECT column_name AS name FROM (DESCRIBE SELECT * FROM lineitem) x WHERE (column_name LIKE 'l_%key' OR column_name LIKE 'l_ta_')")
 def column_patterns(spark, d):
     a = table(spark, d, "lineitem")
     assert matching("l_ta?", a.columns) == expand(["l_ta?"], a, a)
