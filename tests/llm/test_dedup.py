@@ -106,9 +106,10 @@ def test_masks_cover_every_pair():
         assert any(not x & m for m in masks)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 60, 10**6])  # contracted to the end, at first, not at all
+def test_components_of_a_long_chain(spark, few):
     edges = spark.range(500).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(1000, 1001), (5, 5)], "a long, b long"))
-    found = {r["node"]: r["root"] for r in components(edges).collect()}
+    found = {r["node"]: r["root"] for r in components(edges, few).collect()}
     assert len({found[i] for i in range(501)}) == 1 and found[1000] == found[1001] != found[0]
 
 
