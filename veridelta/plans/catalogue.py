@@ -20,7 +20,7 @@ from veridelta.operators.schema_diff import schema_diff_frame
 from veridelta.operators.segment import Segment
 from veridelta.streaming.monitor import checksum_windows
 
-from .fixtures import CHANGED, changed, sql, table
+from .fixtures import CHANGED, changed, scratch, sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -179,8 +179,9 @@ def materialized_diff(spark, d):
     from veridelta.sources.sinks import write_table
 
     differ = JoinDiff(*_pair(spark, d, "orders"))
-    write_table(differ.wide(), "veridelta_materialized_diff")
-    return spark.table("veridelta_materialized_diff")
+    name = scratch(spark, "materialized_diff")
+    write_table(differ.wide(), name)
+    return spark.table(name)
 
 
 # --- hash diff -----------------------------------------------------------------
@@ -655,7 +656,7 @@ def constant_table(spark, d):
 def insert_round_trip(spark, d):
     from veridelta.sources import sinks
 
-    name = "veridelta_insert_round_trip"
+    name = scratch(spark, "insert_round_trip")
     sinks.drop_table(spark, name)
     sinks.create_table(spark, name, "o_orderkey BIGINT, o_orderstatus STRING")
     sinks.insert_query(table(spark, d, "orders").filter("o_orderkey % 97 = 0"), name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHANGED = {
@@ -42,3 +44,9 @@ def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
 
 def changed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(spark, sf_dir, CHANGED[name])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """Name of a table of this session: what a former one left in the warehouse is not
+    in the way."""
+    return f"veridelta_{name}_{re.sub('[^0-9A-Za-z]', '', spark.sparkContext.applicationId)}"

@@ -26,7 +26,7 @@ from veridelta.sources import sinks
 from veridelta.sources.connect import connect, connect_to_table, match_path, redacted
 
 from .catalogue import _diff_sql, _pair, query, t
-from .fixtures import CHANGED, table
+from .fixtures import CHANGED, scratch, table
 
 V = K.Vector
 
@@ -195,7 +195,7 @@ def source_closes(spark, d):
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 10, r_name FROM region")
 def sink_truncate_append(spark, d):
-    name, region = "veridelta_append", table(spark, d, "region").select("r_regionkey", "r_name")
+    name, region = scratch(spark, "append"), table(spark, d, "region").select("r_regionkey", "r_name")
     sinks.drop_table(spark, name)
     sinks.append_to_table(region, name)
     sinks.truncate_table(spark, name)
@@ -211,7 +211,7 @@ def sink_temp_table(spark, d):
 
 @query("SELECT i::BIGINT AS id, 'row ' || i AS s FROM generate_series(0, 9999) g(i)")
 def sink_many_rows(spark, d):
-    name = "veridelta_many_rows"
+    name = scratch(spark, "many_rows")
     sinks.drop_table(spark, name)
     sinks.create_table(spark, name, "id BIGINT, s STRING")
     sinks.insert_rows(spark, name, ((i, f"row {i}") for i in range(10_000)), ["id", "s"])
