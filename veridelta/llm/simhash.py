@@ -27,6 +27,11 @@ SEED = 42
 #: buckets take ``_stars``, which is exact too and linear in the bucket.
 DIRECT = 8192
 
+#: Mixing of a hash into the words of a long fingerprint.
+_rng = np.random.default_rng(11)
+_XOR = _rng.integers(0, 1 << 64, 64, np.uint64)
+_MUL = _rng.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+
 
 def covering_masks(radius: int = RADIUS, seed: int = 7) -> list[int]:
     """2^(radius+1)-1 masks over 64 bits that cover every pair within ``radius``."""
@@ -59,6 +64,18 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
+def long_fingerprint(hashes: np.ndarray, words64: int) -> np.ndarray:
+    """SimHash of ``words64`` words of 64 bits over the given 64-bit hashes; each word
+    takes the bits of another mixing of them."""
+    ones = np.zeros(64 * words64, np.int64)
+    for i in range(0, len(hashes), 255):  # counts of 255 fit a byte
+        mixed = (hashes[i : i + 255, None] ^ _XOR[:words64]) * _MUL[:words64]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _MUL[:words64]
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).view("<u8")
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, fp (long) for every row; null text is empty."""
     prepare(docs.sparkSession)
