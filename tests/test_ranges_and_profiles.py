@@ -1,5 +1,6 @@
 """Bisection by key ranges, names that clash, large sums, and profiles."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -17,6 +18,7 @@ from veridelta.operators.hashdiff import HashDiff, sign_column
 from veridelta.operators.joindiff import JoinDiff
 from veridelta.operators.rangediff import RangeDiff, merged
 from veridelta.operators.result import json_report
+from veridelta.plans import catalogue
 from veridelta.sources.pushdown import FORMS, RemoteTable
 from veridelta.streaming.monitor import checksum_windows
 
@@ -92,6 +94,19 @@ def test_sums_do_not_overflow(spark):
     assert [int(r["checksum"]) for r in got] == [one * 300_000] and abs(one * 300_000) > 2**63
 
 
+@pytest.mark.parametrize("priority", ["4-NOT SPECIFIED", "y"])
+def test_count_and_checksum_beyond_a_long(spark, tmp_path, priority):
+    """The sums on both sides of a long's bounds, and past them."""
+    one = int(hashlib.md5(priority.encode()).hexdigest()[20:], 16) - C.OFFSET
+    most = 2**63 // abs(one)
+    for n, kind in ((0, "bigint"), (most, "bigint"), (most + 1, "decimal(38,0)"), (300_000, "decimal(38,0)")):
+        orders = spark.range(n).select(F.lit(priority).alias("o_orderpriority"))
+        orders.union(spark.sql("SELECT CAST(NULL AS STRING)")).write.parquet(f"{tmp_path}/{n}/orders.parquet")
+        got = catalogue.queries()["count_and_checksum"](spark, f"{tmp_path}/{n}")
+        assert dict(got.dtypes) == {"n": "bigint", "checksum": kind}
+        assert [tuple(r) for r in got.collect()] == [(n + 1, n * one if n else None)]
+
+
 def test_reports_tell_what_they_leave_out(spark):
     a, b = (Segment(spark.range(n).selectExpr("id", "id as v"), ("id",), extras=("v",)) for n in (50, 0))
     got = diff_tables(a, b, algorithm="joindiff", materialize_to_table="veridelta_limited", table_write_limit=20)
